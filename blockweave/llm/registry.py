@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_counts
+from . import exact_dedup, lang_id, mixing, simhash, token_counts
 
 
 def queries() -> dict:
     """One query for each operator, over its whole table."""
     return {
+        "op1_simhash": simhash.op1_simhash,
+        "op3_language_id": lang_id.op3_language_id,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_mixing": mixing.op8_mixing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
