@@ -47,12 +47,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
         "source", "source_size", "w", "bound",
         F.coalesce(F.sum("bound").over(before), F.lit(0)).alias("spent"),
         (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("w_left"),
-        F.floor(F.sum("source_size").over(everything) * SHARE[0] / SHARE[1]).alias("_whole"),
         (F.sum("source_size").over(everything) * SHARE[0]).alias("want_n"),
     )
     level = (F.col("want_n") - F.col("spent") * SHARE[1]).cast("double") / (F.col("w_left") * SHARE[1])
     fits = F.when(level * F.col("w") <= F.col("bound"), level)
-    last = F.min(fits).over(everything)  # the first source under its bound has the least level of those that fit
+    last = F.max(fits).over(everything)  # the first source under its bound has the highest level of those that fit
     return levels.select("source", "source_size", F.least(F.col("bound").cast("double"), F.coalesce(last * F.col("w"), F.col("bound").cast("double"))).alias("target"))
 
 
@@ -78,14 +77,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it, in its own columns. Rows without words are never taken twice and stay once."""
-    spark_cols = docs.columns
+    columns = docs.columns
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     targets = written(source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size"))))
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     t = targets.select(F.struct(*targets.columns).alias("_mix"))
     rate = F.when(F.col("_mix.source_size") > 0, F.col("_mix.target") / F.col("_mix.source_size")).otherwise(F.lit(1.0))
     copies = F.floor(rate) + F.when(uniform(F.col("_row")[id_col]) < rate - F.floor(rate), 1).otherwise(0)
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in spark_cols]).alias("_row")).join(F.broadcast(t) if few else t, F.col("_row")[source_col].eqNullSafe(F.col("_mix.source")))
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).join(F.broadcast(t) if few else t, F.col("_row")[source_col].eqNullSafe(F.col("_mix.source")))
     repeated = joined.select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_n"))
     return repeated.select("_row.*")
 
@@ -103,7 +102,7 @@ b AS (SELECT *, source_size * 2 AS bound FROM r),
 l AS (SELECT *, coalesce(sum(bound) OVER o, 0) AS spent, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_left, sum(source_size) OVER () * 3 AS want_n
       FROM b WINDOW o AS (ORDER BY bound::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, CAST(want_n - spent * 2 AS DOUBLE) / CAST(w_left * 2 AS DOUBLE) AS level FROM l),
-m AS (SELECT *, min(CASE WHEN level * w <= bound THEN level END) OVER () AS best FROM v),
+m AS (SELECT *, max(CASE WHEN level * w <= bound THEN level END) OVER () AS best FROM v),
 s AS (SELECT source, source_size, least(bound::DOUBLE, coalesce(best * w, bound::DOUBLE)) AS target FROM m),
 x AS (SELECT d.doc_id, d.size, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0.0 END AS rate,
       CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT)::DOUBLE / 281474976710656.0 AS u
