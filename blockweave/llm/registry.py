@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lang_id, mixing, simhash, token_counts
+from . import exact_dedup, lang_id, mixing, packing, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op3_language_id": lang_id.op3_language_id,
+        "op4_packing": packing.op4_packing,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_mixing": mixing.op8_mixing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
