@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lang_id, mixing, packing, simhash, token_counts
+from . import exact_dedup, lang_id, mixing, packing, simhash, token_counts, vp_search
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op3_language_id": lang_id.op3_language_id,
         "op4_packing": packing.op4_packing,
+        "op5_vp_search": vp_search.op5_vp_search,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_mixing": mixing.op8_mixing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op5_vp_search": vp_search.SQL, "op8_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
