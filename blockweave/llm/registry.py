@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lang_id, mixing, packing, simhash, substring_dedup, token_counts, vp_search
+from . import exact_dedup, lang_id, mixing, packing, pii, simhash, substring_dedup, token_counts, toxicity, vp_search
 
 
 def queries() -> dict:
@@ -14,7 +14,9 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_vp_search": vp_search.op5_vp_search,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_pii": pii.op7_pii,
         "op8_mixing": mixing.op8_mixing,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
