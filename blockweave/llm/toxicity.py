@@ -22,9 +22,11 @@ from .common import small_batches, table
 from .lang_id import bounded_sample, held_out
 
 #: Labelled documents the scorer is fitted on, about; words it weighs, at most; scores from which a text is toxic.
-SAMPLE, FEATURES, THRESHOLD = 20_000, 400, 0.3
+SAMPLE, FEATURES, THRESHOLD = 12_000, 600, 0.3
+#: Letters of a word's beginnings that are features beside the word itself.
+STEMS = (4, 5, 6)
 #: Paths that decoding keeps; longest token decoded as a lattice; decoded tokens a worker remembers.
-PATHS, LONGEST, REMEMBERED = 12, 40, 300_000
+PATHS, LONGEST, REMEMBERED = 12, 40, 400_000
 #: What the characters of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c"}
 #: Costs, in nats: reading a disguise, dropping one of several equal letters, dropping a mark or a digit, a bound inside a spaced run.
@@ -141,11 +143,19 @@ def decode(token: str, model: CharModel, spaced: bool = False, keep: int = PATHS
     return list(dict.fromkeys(t for _, t in ends if t))
 
 
+def features(words) -> set[str]:
+    """Words and, with a mark before them, their beginnings."""
+    return {*words, *(f"^{w[:k]}" for w in words for k in STEMS if len(w) > k)}
+
+
 class Restorer:
-    """A worker's decoded tokens. ``known``: words that a reading should be, if one of the likeliest is."""
+    """A worker's decoded tokens.
 
-    def __init__(self, model: CharModel, known=frozenset()):
-        self.model, self.known, self.seen = model, known, {}
+    ``known``: words that a reading should be, if one of the likeliest is. ``only``: the features to report; all if None.
+    """
+
+    def __init__(self, model: CharModel, known=frozenset(), only=None):
+        self.model, self.known, self.only, self.seen = model, known, only, {}
 
     def best(self, token: str, spaced: bool) -> tuple[str, ...]:
         """The words a disguised token is read as."""
@@ -168,8 +178,13 @@ class Restorer:
             return ()
         return self.best(token.strip(".,;:?\"'[]{}*_~-&%#"), False)
 
+    def report(self, words) -> tuple[str, ...]:
+        """The features of words that are asked for."""
+        f = features(words)
+        return tuple(f if self.only is None else f & self.only)
+
     def words(self, text: str | None) -> set[str]:
-        """The words of a text, restored."""
+        """The features of a text, restored."""
         if not text:
             return set()
         text = text.translate(ZERO_WIDTH).lower() if not text.isascii() else text.lower()
@@ -180,10 +195,11 @@ class Restorer:
         for token in set(text.split()):
             got = seen.get(token)
             if got is None:
-                got = seen[token] = self.read(token)
-            out.update(got)
+                got = seen[token] = self.report(self.read(token))
+            if got:
+                out.update(got)
         for m in SPACED.finditer(text):
-            out.update(self.best_long(m.group()))
+            out.update(self.report(self.best_long(m.group())))
         return out
 
     def best_long(self, run: str) -> list[str]:
@@ -199,7 +215,7 @@ def restore(text: str | None, restorer: Restorer) -> str:
     return re.sub(r"\S+", lambda m: m.group() if m.group().strip(EDGES).isalpha() and not STRETCHED.search(m.group()) else " ".join(restorer.read(m.group().lower())) or m.group(), text)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept of penalised logistic regression, by Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(a.shape[1]), np.full(a.shape[1], penalty)
@@ -249,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", text_
     p, q = F.col("pos") / n[1], F.col("neg") / n[0]
     all_ = (F.col("pos") + F.col("neg")) / (n[0] + n[1])
     z = (p - q) / F.sqrt(all_ * (1 - all_) * (1 / n[1] + 1 / n[0]) + 1e-12)
-    top = w.filter(F.col("pos") + F.col("neg") >= max(3, 0.004 * (n[0] + n[1]))).withColumn("z", z).filter("abs(z) >= 4").orderBy(F.desc(F.abs("z")), "w").limit(FEATURES).collect()
+    top = w.filter(F.col("pos") + F.col("neg") >= max(3, 0.003 * (n[0] + n[1]))).withColumn("z", z).filter("abs(z) >= 4").orderBy(F.desc(F.abs("z")), "w").limit(FEATURES).collect()
     words = [r["w"] for r in top]
     if not words:
         return Scorer({}, math.log((n[1] + 0.5) / (n[0] + 0.5)))
@@ -281,7 +297,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         s = scorer.value
         known = frozenset(w for w, x in s.weights.items() if x > 0)
-        r = Restorer(model.value, known)
+        r = Restorer(model.value, known, frozenset(s.weights))
         for b in batches:
             words = [r.words(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.score(w) for w in words], pa.float64()), pa.array([sorted(w & known) for w in words], pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "restored"])
