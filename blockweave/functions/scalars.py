@@ -25,8 +25,8 @@ def mode_for_flags(fast: Column, ratio: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """A size as B, KB, MB or GB with two decimals above 1,023 bytes; a unit is 1,024 of the one before."""
-    scaled = lambda k, unit: F.format_string(f"%.2f {unit}", n.cast("double") / float(1024**k))
+    """A size as B, KB, MB or GB with two decimals, ties to even, above 1,023 bytes; a unit is 1,024 of the one before."""
+    scaled = lambda k, unit: F.format_string(f"%.2f {unit}", F.bround(n.cast("double") / float(1024**k), 2))
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
