@@ -72,50 +72,68 @@ class Decoder:
         return bit
 
 
-class Model:
-    """Probabilities by order and node; those never met stand at one half and take no memory."""
-
-    def __init__(self):
-        self.o0, self.o1, self.o2 = {}, {}, {}
-        self.before, self.earlier = 0, 0
-
-    def nodes(self) -> tuple[int, int]:
-        """Where the two contexts' nodes begin."""
-        return self.before << WIDTH, (((self.earlier * 257) ^ self.before) & MASK) << WIDTH
-
-    def token(self, code, token: int | None) -> int:
-        """Encode a token with ``code(bit, p)``, or decode one with ``code(None, p)``, and learn from it."""
-        o0, o1, o2, node = self.o0, self.o1, self.o2, 1
-        a, b = self.nodes()
-        for i in range(WIDTH - 1, -1, -1):
-            p0, p1, p2 = o0.get(node, HALF), o1.get(a + node, HALF), o2.get(b + node, HALF)
-            bit = code(None if token is None else token >> i & 1, (p0 + 3 * p1 + 4 * p2) >> 3)
-            o0[node], o1[a + node], o2[b + node] = adapt(p0, bit, 5), adapt(p1, bit, 5), adapt(p2, bit, 4)
-            node = node << 1 | bit
-        got = node - (1 << WIDTH)
-        self.earlier, self.before = self.before, got
-        return got
-
-
 def encode(tokens) -> bytes:
-    """The range-coded stream of a token list."""
-    e, m = Encoder(), Model()
-
-    def code(bit: int, p: int) -> int:
-        e.bit(bit, p)
-        return bit
-
-    for t in tokens:
-        m.token(code, t)
+    """The range-coded stream of a token list. The bit loop is written out: nothing in it calls back into Python code."""
+    e, o0, o1, o2, before, earlier = Encoder(), [HALF] * 512, {}, {}, 0, 0
+    span, low, shift = e.range, e.low, e._shift
+    for token in tokens:
+        a, b, node = before << WIDTH, (((earlier * 257) ^ before) & MASK) << WIDTH, 1
+        for i in (8, 7, 6, 5, 4, 3, 2, 1, 0):
+            ka, kb = a + node, b + node
+            p0, p1, p2 = o0[node], o1.get(ka, HALF), o2.get(kb, HALF)
+            bound = (span >> BITS) * ((p0 + 3 * p1 + 4 * p2) >> 3)
+            if token >> i & 1:
+                low += bound
+                span -= bound
+                o0[node] = max(p0 + (-p0 >> 5), LOW)
+                o1[ka] = max(p1 + (-p1 >> 5), LOW)
+                o2[kb] = max(p2 + (-p2 >> 4), LOW)
+                node = node << 1 | 1
+            else:
+                span = bound
+                o0[node] = min(p0 + ((ONE - p0) >> 5), HIGH)
+                o1[ka] = min(p1 + ((ONE - p1) >> 5), HIGH)
+                o2[kb] = min(p2 + ((ONE - p2) >> 4), HIGH)
+                node <<= 1
+            while span < TOP:
+                span = (span << 8) & 0xFFFFFFFF
+                e.low = low
+                shift()
+                low = e.low
+        earlier, before = before, token
+    e.low = low
     return e.finish()
 
 
 def decode(data: bytes, n: int) -> list[int]:
     """``n`` tokens of a stream."""
-    d, m, out = Decoder(data), Model(), []
+    d, out, o0, o1, o2, before, earlier = Decoder(data), [], [HALF] * 512, {}, {}, 0, 0
+    span, code, at, data, end = d.range, d.code, d.at, d.data, len(d.data)
     for _ in range(n):
-        t = m.token(lambda _, p: d.bit(p), None)
-        if t > 256:
+        a, b, node = before << WIDTH, (((earlier * 257) ^ before) & MASK) << WIDTH, 1
+        while node < 512:
+            ka, kb = a + node, b + node
+            p0, p1, p2 = o0[node], o1.get(ka, HALF), o2.get(kb, HALF)
+            bound = (span >> BITS) * ((p0 + 3 * p1 + 4 * p2) >> 3)
+            if code < bound:
+                span = bound
+                o0[node] = min(p0 + ((ONE - p0) >> 5), HIGH)
+                o1[ka] = min(p1 + ((ONE - p1) >> 5), HIGH)
+                o2[kb] = min(p2 + ((ONE - p2) >> 4), HIGH)
+                node <<= 1
+            else:
+                code -= bound
+                span -= bound
+                o0[node] = max(p0 + (-p0 >> 5), LOW)
+                o1[ka] = max(p1 + (-p1 >> 5), LOW)
+                o2[kb] = max(p2 + (-p2 >> 4), LOW)
+                node = node << 1 | 1
+            while span < TOP:
+                code = (code << 8 | (data[at] if at < end else 0)) & 0xFFFFFFFF
+                span, at = (span << 8) & 0xFFFFFFFF, at + 1
+        token = node - 512
+        if token > 256:
             raise CorruptBlock("token above 256")
-        out.append(t)
+        earlier, before = before, token
+        out.append(token)
     return out

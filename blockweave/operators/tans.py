@@ -35,51 +35,53 @@ def normalise(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-class Table:
-    """Coding table of one context, as plain lists for the sequential loops."""
-
-    def __init__(self, counts: np.ndarray):
-        norm = normalise(np.asarray(counts, np.int64))
-        symbols = np.repeat(np.arange(SYMBOLS), norm)
-        spread = np.empty(STATES, np.int64)
-        spread[np.arange(STATES) * STEP % STATES] = symbols
-        # The k-th place of a symbol, in ascending order of places, is reached from sub-state norm + k.
-        order = np.argsort(spread, kind="stable")
-        first = np.cumsum(norm) - norm
-        sub = np.empty(STATES, np.int64)
-        sub[order] = np.arange(STATES) - first[spread[order]] + norm[spread[order]]
-        bits = LOG - np.floor(np.log2(sub)).astype(np.int64)
-        self.symbol, self.bits, self.base = spread.tolist(), bits.tolist(), ((sub << bits) - STATES).tolist()
-        self.place = (order + STATES).tolist()
-        most = LOG - np.floor(np.log2(np.maximum(norm, 1))).astype(np.int64)
-        self.norm, self.first, self.most, self.limit = norm.tolist(), first.tolist(), most.tolist(), (norm << most).tolist()
+_PLACES = np.arange(STATES) * STEP % STATES
+_LOG2 = np.floor(np.log2(np.maximum(np.arange(2 * STATES), 1))).astype(np.int64)
 
 
 class Tables:
-    """Tables by context, built when first asked for."""
+    """Coding tables of a block's contexts, all built at once; row k of each flat view belongs to the k-th context that occurs."""
 
     def __init__(self, order0: np.ndarray, order1: np.ndarray):
-        self.counts, self.made = (order0, order1), {}
-
-    def __getitem__(self, context: int) -> Table:
-        if (t := self.made.get(context)) is None:
-            t = self.made[context] = Table(self.counts[0] if context == NO_CONTEXT else self.counts[1][context])
-        return t
+        used = np.flatnonzero(order1.any(axis=1))
+        counts = np.vstack([order1[used], order0]).astype(np.int64)
+        n = len(counts)
+        self.row = dict(zip([*used.tolist(), NO_CONTEXT], range(n), strict=True))
+        total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        norm = np.where(counts > 0, np.maximum(1, counts * STATES // total), 0)
+        missing = STATES - norm.sum(axis=1)
+        norm[np.arange(n), norm.argmax(axis=1)] += np.maximum(missing, 0)  # no counts at all: the first symbol takes all
+        for k in np.flatnonzero(missing < 0):
+            norm[k] = normalise(counts[k])
+        symbols = np.repeat(np.tile(np.arange(SYMBOLS), n), norm.ravel()).reshape(n, STATES)
+        spread = np.empty_like(symbols)
+        spread[:, _PLACES] = symbols
+        # The k-th place of a symbol, in ascending order of places, is reached from sub-state norm + k.
+        order = np.argsort(spread.astype(np.int16), axis=1, kind="stable")
+        first = np.cumsum(norm, axis=1) - norm
+        sub = np.empty_like(symbols)
+        np.put_along_axis(sub, order, np.arange(STATES) + np.take_along_axis(norm - first, symbols, 1), 1)
+        bits, most = LOG - _LOG2[sub], LOG - _LOG2[norm]
+        view = lambda x: memoryview(np.ascontiguousarray(x, np.int64).ravel())
+        self.symbol, self.bits, self.base, self.place = view(spread), view(bits), view(sub << bits), view(order + STATES)
+        self.shift, self.most, self.limit = view(first - norm), view(most), view(norm << most)
 
 
 def encode(tokens, order0: np.ndarray, order1: np.ndarray, contexts) -> bytes:
     """The bit stream of a token list: tokens from last to first, then the state, then a marker bit."""
-    tables, state, acc, held, out = Tables(order0, order1), STATES, 0, 0, bytearray()
+    t, state, acc, held, out = Tables(order0, order1), STATES, 0, 0, bytearray()
+    row, most, limit, place, shift = t.row, t.most, t.limit, t.place, t.shift
     for s, c in zip(reversed(list(tokens)), reversed(list(contexts)), strict=True):
-        t = tables[c]
-        n = t.most[s] - (state < t.limit[s])
+        k = row[c]
+        at = k * SYMBOLS + s
+        n = most[at] - (state < limit[at])
         acc |= (state & ((1 << n) - 1)) << held
         held += n
         while held >= 8:
             out.append(acc & 255)
             acc >>= 8
             held -= 8
-        state = t.place[t.first[s] + (state >> n) - t.norm[s]]
+        state = place[k * STATES + shift[at] + (state >> n)]
     acc |= (state | 1 << 12) << held
     return bytes(out) + acc.to_bytes((held + 13 + 7) // 8, "little")
 
@@ -91,18 +93,20 @@ def decode(data: bytes, n: int, order0: np.ndarray, order1: np.ndarray) -> list[
     at = 8 * (len(data) - 1) + data[-1].bit_length() - 1 - 12
     if at < 0:
         raise CorruptBlock("stream too short")
-    padded, out, tables, context = data + b"\0\0\0", [], Tables(order0, order1), NO_CONTEXT
+    padded, out, t = data + b"\0\0\0", [], Tables(order0, order1)
+    row, symbol, bits, base, k = t.row, t.symbol, t.bits, t.base, t.row[NO_CONTEXT]
     state = (int.from_bytes(padded[at >> 3 : (at >> 3) + 3], "little") >> (at & 7)) & 4095
     for _ in range(n):
-        if not STATES <= state < 2 * STATES:
+        if not STATES <= state < 2 * STATES or k is None:
             raise CorruptBlock("state outside the table")
-        t, x = tables[context], state - STATES
-        s, bits = t.symbol[x], t.bits[x]
-        at -= bits
+        x = k * STATES + state - STATES
+        s, b = symbol[x], bits[x]
+        at -= b
         if at < 0:
             raise CorruptBlock("stream ended early")
-        state = STATES + t.base[x] + ((int.from_bytes(padded[at >> 3 : (at >> 3) + 3], "little") >> (at & 7)) & ((1 << bits) - 1))
+        i = at >> 3
+        state = base[x] | (padded[i] | padded[i + 1] << 8 | padded[i + 2] << 16) >> (at & 7) & ((1 << b) - 1)
         out.append(s)
         if s <= 255:
-            context = s
+            k = row.get(s)
     return out
