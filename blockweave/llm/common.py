@@ -45,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[str, tuple[str, object]] = {}
+
+
+def kept(kind: str, token: str, make):
+    """What ``make`` gives, kept by a worker process over its tasks until another token comes: one object of each kind."""
+    if _kept.get(kind, ("",))[0] != token:
+        _kept[kind] = (token, make())
+    return _kept[kind][1]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -13,7 +13,10 @@ part-filled sequences at most.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import cache
 from itertools import combinations_with_replacement
@@ -21,17 +24,23 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import kept, small_batches, table, written
 
 #: Tokens in a sequence; the grain bodies are cut to; lengths in a combination, at most; the id after each document.
 WINDOW, UNIT, DEPTH, END = 2048, 64, 4, 1
 #: Documents that one bucket packs, about.
 BUCKET = 20_000
-#: Encoded words a worker remembers.
-REMEMBERED = 400_000
+#: Encoded words a worker remembers in each of two generations.
+REMEMBERED = 150_000
+
+
+#: The vocabulary's pre-token pattern; the last letter that is cut by it here.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LATIN = "ɏ"
 
 
 @cache
@@ -42,32 +51,69 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def merger(path: str):
+    """A function from a lower-case pre-token's bytes to its ids, by merge ranks; None for a vocabulary of another make.
+
+    The vocabulary marks a word's last symbol. Here a byte that UTF-8 never has stands for the mark and is merged into
+    the last symbol before anything else; from then on ranks are those of the vocabulary.
+    """
+    import tiktoken
+
+    model = json.loads(tokenizer(path).to_str())["model"]
+    if model.get("end_of_word_suffix") != "</w>":
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in the vocabulary's alphabet
+    others = [x for x in range(256) if x not in set(shown)]
+    byte = {chr(x): x for x in shown} | {chr(256 + n): x for n, x in enumerate(others)}
+    letter = {x: c for c, x in byte.items()}
+    spelled = lambda t: bytes(byte[c] for c in t.removesuffix("</w>")) + (b"\xff" if t.endswith("</w>") and t != "</w>" else b"")
+    tokens = [letter[x] for x in range(256)] + [letter[x] + "</w>" for x in range(255)]
+    tokens += ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ranks = {spelled(t): k for k, t in enumerate(tokens)}
+    if len(ranks) != len(tokens):
+        return None
+    ids = [model["vocab"].get(t, -1) for t in tokens]
+    encoding = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+    return lambda part: array("I", [ids[r] for r in encoding._encode_single_piece(part + b"\xff")]).tobytes()
+
+
 class Words(dict):
     """A run of bytes without ASCII white space, to its ids as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and lets no token cross it, so a text's ids are those of its runs in order.
+    The vocabulary drops white space and lets no token cross it, so a text's ids are those of its runs in order. A run
+    is cut into lower-case pre-tokens, which are runs themselves; what has letters beyond Latin, or looks like a
+    special token, is left to the library. Two generations are remembered, so that frequent runs stay.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.path = path
+        self.path, self.old, self.merge = path, {}, merger(path)
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            ids = self.encode(run)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[run] = ids
+        return ids
+
+    def encode(self, run: bytes) -> bytes:
+        """Ids of a run that isn't remembered."""
+        if self.merge and run.isalpha():
+            low = run.lower()
+            return self.merge(low) if low == run else self[low]
+        text = run.decode()
+        if self.merge is None or b"<|" in run or max(text) > LATIN:
+            return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = [p.encode() for p in PATTERN.findall(unicodedata.normalize("NFC", text).lower())]
+        return self.merge(run) if parts == [run] else b"".join([self[p] for p in parts])
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text."""
-        runs = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.__getitem__, runs))
-        except KeyError:
-            new = [r for r in set(runs) if r not in self]
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(set(runs))
-            got = tokenizer(self.path).encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-            self.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(new, got, strict=True))
-            return b"".join(map(self.__getitem__, runs))
-
-
-_memories: dict[str, Words] = {}
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def cut(n: int, window: int = WINDOW, unit: int = UNIT) -> list[tuple[int, int]]:
@@ -88,7 +134,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names, end = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], np.array([END], "<u4").tobytes()
 
     def run(batches):
-        words = _memories.setdefault(path, Words(path))
+        words = kept("words", path, lambda: Words(path))
         for b in batches:
             at, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
