@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import kept, small_batches, table
 
 #: Labelled documents the model is fitted on, about; languages, words and n-grams of each order kept for each language, at most.
 SAMPLE, LANGS, WORDS, GRAMS = 20_000, 64, 30_000, 8_000
@@ -26,7 +27,7 @@ ORDERS = (5, 4, 3, 2, 1)
 #: Words that a document's evidence counts as, at most: longer texts are not surer without end.
 EVIDENCE = 20
 #: Unseen words a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -167,10 +168,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, sample))
+    token = uuid.uuid4().hex
     small_batches(spark)
 
     def run(batches):
-        p = Predictor(model.value)
+        p = kept("language", token, lambda: Predictor(model.value))
         for b in batches:
             got = [p.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -183,11 +185,12 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id
     """``docs`` without rows whose language isn't identified: ``und``, or a score under ``least``. All columns stay; no row moves."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+    token = uuid.uuid4().hex
     small_batches(spark)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        p = Predictor(model.value)
+        p = kept("language", token, lambda: Predictor(model.value))
         for b in batches:
             got = [p.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))

@@ -17,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import kept, small_batches, table
 
 #: A document above this many tokens is over the limit.
 LIMIT = 512
 #: Merged pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: The pre-token pattern of byte-level BPE with prefix spaces, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -116,16 +116,6 @@ class Counts(dict):
         return out
 
 
-_memories: dict[str, Counts] = {}
-
-
-def counts(path: str, known) -> Counts:
-    """One memory for each vocabulary in a worker process; ``known`` is the broadcast table of whole tokens."""
-    if path not in _memories:
-        _memories[path] = Counts(path, known.value)
-    return _memories[path]
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
 
@@ -136,7 +126,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # no larger than the vocabulary
 
     def run(batches):
-        known = counts(path, whole)
+        known = kept("counts", path, lambda: Counts(path, whole.value))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(known.of(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import kept, small_batches, table
 from .lang_id import bounded_sample, held_out
 
 #: Labelled documents the scorer is fitted on, about; words it weighs, at most; scores from which a text is toxic.
@@ -26,7 +27,7 @@ SAMPLE, FEATURES, THRESHOLD = 12_000, 600, 0.3
 #: Letters of a word's beginnings that are features beside the word itself.
 STEMS = (4, 5, 6)
 #: Paths that decoding keeps; longest token decoded as a lattice; decoded tokens a worker remembers.
-PATHS, LONGEST, REMEMBERED = 12, 40, 400_000
+PATHS, LONGEST, REMEMBERED = 12, 40, 200_000
 #: What the characters of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c"}
 #: Costs, in nats: reading a disguise, dropping one of several equal letters, dropping a mark or a digit, a bound inside a spaced run.
@@ -292,12 +293,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     char_model = CharModel(counts["code"].to_numpy(np.int64), counts["n"].to_numpy(float))
     model = spark.sparkContext.broadcast(char_model)
     scorer = spark.sparkContext.broadcast(fit(docs, labels, model, id_col, text_col, label_col, sample))
+    token = uuid.uuid4().hex
     small_batches(spark)
 
     def run(batches):
         s = scorer.value
         known = frozenset(w for w, x in s.weights.items() if x > 0)
-        r = Restorer(model.value, known, frozenset(s.weights))
+        r = kept("restorer", token, lambda: Restorer(model.value, known, frozenset(s.weights)))
         for b in batches:
             words = [r.words(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.score(w) for w in words], pa.float64()), pa.array([sorted(w & known) for w in words], pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "restored"])
