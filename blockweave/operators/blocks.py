@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +35,33 @@ def byte_rows(blocks: DataFrame, *keys: str, sample: int | None = SAMPLE) -> Dat
 def byte_histogram(blocks: DataFrame, *keys: str, sample: int | None = SAMPLE) -> DataFrame:
     """keys, byte, cnt. Counts combine on the map side; at most 256 rows leave a task for each key."""
     return byte_rows(blocks, *keys, sample=sample).groupBy(*keys, "byte").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def table_blocks(payloads: DataFrame, block_size: int) -> DataFrame:
+    """block_id, raw, members: rows gathered into blocks of about ``block_size`` bytes where they stand, without a shuffle.
+
+    Coders need long blocks to say anything about a table of short rows. ``members`` lists each row's id, offset and
+    size; a row never spans blocks, so a block may be longer by what its last row has.
+    """
+    kind = dict(payloads.dtypes)["archive_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raw, members = bytearray(), []
+        for pdf in batches:
+            for i, data in zip(pdf["archive_id"], pdf["raw"], strict=True):
+                members.append({"id": i, "offset": len(raw), "size": len(data)})
+                raw += data
+                if len(raw) >= block_size:
+                    yield pd.DataFrame({"raw": [bytes(raw)], "members": [members]})
+                    raw, members = bytearray(), []
+        if members:
+            yield pd.DataFrame({"raw": [bytes(raw)], "members": [members]})
+
+    cut = payloads.select("archive_id", "raw").mapInPandas(run, f"raw binary, members array<struct<id:{kind},offset:int,size:int>>")
+    return cut.select(F.sha2("raw", 256).alias("block_id"), "raw", "members")
+
+
+def table_rows(blocks: DataFrame) -> DataFrame:
+    """archive_id, raw: the rows of ``table_blocks`` again."""
+    each = blocks.select("raw", F.explode("members").alias("m"))
+    return each.select(F.col("m.id").alias("archive_id"), F.col("raw").substr(F.col("m.offset") + 1, F.col("m.size")).alias("raw"))

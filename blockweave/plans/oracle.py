@@ -76,6 +76,8 @@ SQL = {
     "archive_roundtrip_ratio": _DOC_DIGEST,
     "archive_roundtrip_balanced": _DOC_DIGEST,
     "archive_roundtrip_fast": _DOC_DIGEST,
+    "table_roundtrip_fast": _DOC_DIGEST,
+    "table_roundtrip_balanced": _DOC_DIGEST,
     "encrypt_roundtrip": _TURN_DIGEST,
     "wrong_password_null": "SELECT true AS is_null, count(*) AS n FROM conversations",
     "volume_split_sizes": "WITH e AS (SELECT source, sum(octet_length(encode(text))) AS total FROM documents GROUP BY source), v AS (SELECT source, total, unnest(range(CAST((total + 63999) // 64000 AS BIGINT))) AS volume FROM e) SELECT source, volume, CAST(least(64000, total - 64000 * volume) AS BIGINT) AS length FROM v",

@@ -253,8 +253,25 @@ def archive_stats(spark, sf):
     return archive.stats(coded).select("input_size", "chunks", "stored", (F.col("output_size") < F.col("input_size")).alias("smaller"))
 
 
+def _table_roundtrip(spark, sf, mode):
+    cut = blocks.table_blocks(_docs(spark, sf), 1 << 18)
+    raw = cut.select(F.col("block_id").alias("archive_id"), F.lit(0).cast("long").alias("block_idx"), F.octet_length("raw").alias("orig_size"), "raw", "members")
+    coded = codec.encode_blocks(raw, mode, 3)
+    back = codec.decode_blocks(coded, "members")
+    return _digest(blocks.table_rows(back), "archive_id", "doc_id")
+
+
+def table_roundtrip_fast(spark, sf):
+    return _table_roundtrip(spark, sf, "fast")
+
+
+def table_roundtrip_balanced(spark, sf):
+    return _table_roundtrip(spark, sf, "balanced")
+
+
 def mode_compare_sizes(spark, sf):
-    raw = blocks.split_blocks(_docs(spark, sf), 1 << 16)
+    cut = blocks.table_blocks(_docs(spark, sf), 1 << 18)
+    raw = cut.select(F.octet_length("raw").alias("orig_size"), "raw")
     out = None
     for mode in ("fast", "balanced"):
         s = archive.stats(codec.encode_blocks(raw, mode, 19), "mode").withColumn("ratio", F.round(S.ratio_percent(F.col("output_size"), F.col("input_size")), 4))
@@ -344,7 +361,7 @@ QUERIES = [
     bwt_primary_indexes, kernel_primary_indexes, lf_mapping, mtf_ranks, rle_tokens, kernel_tokens, token_hist0, token_hist1, token_contexts, symbol_cumulative,
     cond_entropy, normalized_counts, e8e9_roundtrip, store_roundtrip, tans_roundtrip, range_roundtrip, zstd_roundtrip, archive_roundtrip_ratio,
     archive_roundtrip_balanced, archive_roundtrip_fast, encrypt_roundtrip, wrong_password_null, volume_split_sizes, volume_bytes, volume_rejoined, volume_total,
-    header_report, archive_stats, mode_compare_sizes, first_difference, metadata_json_roundtrip, archive_listing, listing_order, default_names, size_labels,
+    header_report, archive_stats, table_roundtrip_fast, table_roundtrip_balanced, mode_compare_sizes, first_difference, metadata_json_roundtrip, archive_listing, listing_order, default_names, size_labels,
     hidden_filter, mode_selection, le_numbers, bundle_members, progress_speed,
 ]
 
