@@ -46,9 +46,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay. Ids must be unique and not null."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """``docs`` with one row of each group, in all its columns: the row that ``exact_dedup`` keeps.
+
+    Of rows that repeat one id and text, one stays. A row without an id stays only if no row of its group has one.
+    """
+    key = lambda c: F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
+    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    rows = docs.select(key(F.col(id_col)).alias("_id"), sha.alias("_sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).dropDuplicates(["_id", "_sha"])
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("doc_id")).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    return rows.join(kept, ["_id", "_sha"], "left_semi").select("_row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, in its own columns. Rows without words are never taken twice and stay once."""
+    """``docs`` with each row as often as the mix takes it, in its own columns. A source without any words stays as it is."""
     columns = docs.columns
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     targets = written(source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size"))))

@@ -100,9 +100,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one with the least id; all columns stay. Ids must be unique and not null."""
-    kept = near_dedup(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """``docs`` with the row of the least id of each component, in all its columns.
+
+    Rows without an id aren't judged and stay. Rows that repeat one id share its verdict.
+    """
+    judged = docs.filter(F.col(id_col).isNotNull())
+    gone = near_dedup(judged, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,18 @@ def test_exact_dedup_of_nothing_and_null_ids(spark, docs, empty):
     d = spark.createDataFrame([(None, "a"), (None, None), (5, "A")], "doc_id long, text string")
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(d).collect()}
     assert got == {(None, 5, 2, False), (5, 5, 2, True), (None, None, 1, True)}
-    assert exact_dedup.drop_copies(docs.dropDuplicates(["doc_id"])).columns == docs.columns
+    assert exact_dedup.drop_copies(docs).columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in exact_dedup.drop_copies(d.union(d)).collect()) == [(False, 5), (True, None)]
+
+
+def test_stages_keep_one_row_of_each_group(spark, docs, texts):
+    left = [r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()]
+    assert len(left) == len(set(left)) == len({lower(t) for t in texts.values()})
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_dedup(docs).collect()}
+    stay = [r["doc_id"] for r in simhash.drop_near_copies(docs).collect()]
+    assert set(stay) == {c for _, c in got} and stay.count(3) == 2 * (3 in set(stay))
+    odd = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"))
+    assert simhash.drop_near_copies(odd).filter("doc_id IS NULL").count() == 2
 
 
 def fingerprint(t):
