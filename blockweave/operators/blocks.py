@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 SAMPLE = 65_536
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has slots, dealt out evenly; any other as it is.
+
+    Coders take far longer than moving what a few partitions hold. A large input has more partitions than slots, so
+    nothing moves there. Only for scans: asking another plan for its partitions may run it.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(2 * slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def payload(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """archive_id, raw: one payload of UTF-8 bytes for each row; null texts are empty."""
     return df.select(F.col(id_col).alias("archive_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))

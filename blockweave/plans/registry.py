@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return blocks.payload(_table(spark, sf, "documents"), "doc_id", "text")
+    return blocks.payload(blocks.spread(_table(spark, sf, "documents")), "doc_id", "text")
 
 
 def _bench(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _bench(spark: SparkSession, sf: str) -> DataFrame:
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat_ws(":", "conv_id", "turn")
-    return _table(spark, sf, "conversations").select(key.alias("archive_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    return blocks.spread(_table(spark, sf, "conversations")).select(key.alias("archive_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
 
 
 def _digest(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
