@@ -175,10 +175,16 @@ def _rejoined(decoded: DataFrame) -> DataFrame:
     return g.select("archive_id", F.aggregate("b", F.lit(bytearray()).cast("binary"), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
 
 
+def spark_slots(df: DataFrame) -> int:
+    """Tasks that the session's cluster runs at once."""
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def _through(payloads: DataFrame, mode: str, block_size: int, name: str) -> DataFrame:
     """Payloads into archives and back."""
     coded = codec.encode_blocks(blocks.split_blocks(payloads, block_size), mode, 3)
     opened = archive.frames(archive.assemble(coded, block_size)).withColumn("digest", F.lit(None).cast("string"))
+    opened = opened.repartition(2 * spark_slots(opened))  # a fixed number: decoding few bytes takes long, so they mustn't be put together
     return _digest(_rejoined(codec.decode_blocks(opened)), "archive_id", name)
 
 
