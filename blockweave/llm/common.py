@@ -11,6 +11,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import spread
+
 #: The characters that separate words: space and the five ASCII controls from tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
 #: A word is a maximal run of anything else.
@@ -55,6 +57,11 @@ def kept(kind: str, token: str, make):
     return _kept[kind][1]
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables, dealt out where it has fewer partitions than the cluster has slots."""
+    return spread(table(spark, sf_dir, name))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

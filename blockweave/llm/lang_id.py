@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, small_batches, spread_table
 
 #: Labelled documents the model is fitted on, about; languages, words and n-grams of each order kept for each language, at most.
 SAMPLE, LANGS, WORDS, GRAMS = 20_000, 64, 30_000, 8_000
@@ -200,4 +200,4 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of the whole of ``documents``."""
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(spread_table(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table, written
+from .common import kept, small_batches, spread_table, written
 
 #: Tokens in a sequence; the grain bodies are cut to; lengths in a combination, at most; the id after each document.
 WINDOW, UNIT, DEPTH, END = 2048, 64, 4, 1
@@ -262,4 +262,4 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of ``documents``, packed under the word vocabulary."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, spread_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window and from one to the next; characters around a trigger that windows cover.
@@ -382,4 +382,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in the whole of ``documents``."""
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(spread_table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import small_batches, spread_table, written
 from .components import components
 
 #: Words in a shingle, differing bits up to which fingerprints link.
@@ -111,4 +111,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies in the whole of ``documents``."""
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(spread_table(spark, sf_dir, "documents"))

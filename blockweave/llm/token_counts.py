@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, small_batches, spread_table
 
 #: A document above this many tokens is over the limit.
 LIMIT = 512
@@ -140,4 +140,4 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the whole of ``documents`` under the byte-level vocabulary."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(spread_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

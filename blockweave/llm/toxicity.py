@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, small_batches, spread_table, table
 from .lang_id import bounded_sample, held_out
 
 #: Labelled documents the scorer is fitted on, about; words it weighs, at most; scores from which a text is toxic.
@@ -311,4 +311,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of the whole of ``documents``."""
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("restored")
+    return toxicity(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("restored")
