@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import small_batches, spread_table, written
 
 #: Words in a window, and in the runs that minimizers are chosen from.
 WINDOW, GRAM = 20, 6
 #: Different pieces of one minimizer above which it is split into windows; pieces in a shard, about.
 SPLIT, SHARD = 1_000, 4_000
-#: Binary logarithm of the bits in a filter: 16 MB, whatever the input.
-BITS = 27
+#: Binary logarithm of the bits in a filter: 8 MB, whatever the input.
+BITS = 26
 #: Word hashes a worker remembers.
 REMEMBERED = 300_000
 #: Ids and starts of rows without an id come after all others.
@@ -122,9 +122,17 @@ def filter_bits(keys: DataFrame, key: Column) -> np.ndarray:
     """A bit table of 2 ** BITS bits with those set that the keys' low bits name; combined by executors."""
     low = key.bitwiseAND(F.lit((1 << BITS) - 1))
     got = keys.select(F.shiftright(low, 6).cast("int").alias("i"), F.expr("1L").alias("one"), low.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-    got = got.groupBy("i").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toPandas()
+    words = got.groupBy("i").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits"))
+
+    def pack(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if parts:
+            i, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([i.astype("<i4").tobytes()]), pa.array([bits.astype("<i8").tobytes()])], names=["i", "bits"])
+
     out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[got["i"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in words.mapInArrow(pack, "i binary, bits binary").toLocalIterator():  # one partition's words at a time
+        out[np.frombuffer(row["i"], "<i4")] = np.frombuffer(row["bits"], "<u8")
     return out
 
 
@@ -306,7 +314,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows in the whole of ``documents``."""
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup(spread_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 SQL = r"""
