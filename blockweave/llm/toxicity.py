@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from collections import Counter
 
@@ -26,7 +27,7 @@ from .lang_id import bounded_sample, held_out
 SAMPLE, FEATURES, THRESHOLD = 12_000, 600, 0.3
 #: Letters of a word's beginnings that are features beside the word itself.
 STEMS = (4, 5, 6)
-#: Paths that decoding keeps; longest token decoded as a lattice; decoded tokens a worker remembers.
+#: Paths that decoding keeps; places of a token decoded as one lattice, longer ones in stretches; decoded tokens a worker remembers.
 PATHS, LONGEST, REMEMBERED = 12, 40, 200_000
 #: What the characters of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c"}
@@ -39,6 +40,8 @@ CLASSES, ORDER = 28, 4
 #: Runs of single characters, at least three, with a space or a mark between them.
 SPACED = re.compile(r"(?<![^\s])[\w@$!|+](?:[ .\-_*]{1,2}[\w@$!|+](?=[ .\-_*]|\s|[,;:?!]|$)){2,}")
 STRETCHED = re.compile(r"(.)\1\1")
+#: More than three equal characters, which a lattice reads like three.
+SURPLUS = re.compile(r"(.)\1{3,}")
 ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
 
 
@@ -127,7 +130,7 @@ def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
 def decode(token: str, model: CharModel, spaced: bool = False, keep: int = PATHS) -> list[str]:
     """The likeliest readings of a token, best first, by Viterbi decoding: of paths that end in one context the best few stay."""
     paths: list[tuple[float, tuple[int, int, int], str]] = [(0.0, (0, 0, 0), "")]
-    for place in lattice(token[:LONGEST] if not spaced else token, spaced):
+    for place in lattice(token, spaced):
         grown: dict[tuple, tuple[float, tuple[int, int, int], str]] = {}
         for cost, context, text in paths:
             for reading, extra in place:
@@ -149,6 +152,16 @@ def features(words) -> set[str]:
     return {*words, *(f"^{w[:k]}" for w in words for k in STEMS if len(w) > k)}
 
 
+def pieces(token: str) -> list[str]:
+    """The parts of a token between its punctuation and symbols, and between those alone that aren't leetspeak; without single ASCII characters."""
+    inner = token.strip(EDGES)
+    if inner.isalnum():
+        return []
+    cut = "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in inner)
+    loose = "".join(" " if d == " " and c not in LEET else c for c, d in zip(inner, cut, strict=True))
+    return [p for p in dict.fromkeys([*loose.split(), *cut.split()]) if p != token and (len(p) > 1 or not p.isascii())]
+
+
 class Restorer:
     """A worker's decoded tokens.
 
@@ -174,10 +187,10 @@ class Restorer:
         if core.isalpha() and not STRETCHED.search(core):
             plain = (core,)
             odd = token.lstrip(".,;:?\"'[]{}*_~-&%#").rstrip(".,;:?\"'()[]{}*_~-&%#!|")
-            return plain if odd == core or not any(c in LEET for c in odd) else plain + self.best(odd, False)
-        if len(token) > LONGEST or not any(map(str.isalpha, token)):
+            return plain if odd == core or not any(c in LEET for c in odd) else plain + self.best_token(odd)
+        if not any(c.isalpha() or c in LEET for c in token):
             return ()
-        return self.best(token.strip(".,;:?\"'[]{}*_~-&%#"), False)
+        return self.best_token(token.strip(".,;:?\"'[]{}*_~-&%#"))
 
     def report(self, words) -> tuple[str, ...]:
         """The features of words that are asked for."""
@@ -196,17 +209,26 @@ class Restorer:
         for token in set(text.split()):
             got = seen.get(token)
             if got is None:
-                got = seen[token] = self.report(self.read(token))
+                got = self.report([*self.read(token), *(w for p in pieces(token) for w in self.read(p))])
+                if len(token) <= 3 * LONGEST:
+                    seen[token] = got
             if got:
                 out.update(got)
         for m in SPACED.finditer(text):
             out.update(self.report(self.best_long(m.group())))
         return out
 
-    def best_long(self, run: str) -> list[str]:
-        """A spaced run, decoded in stretches of bounded length that overlap."""
+    def best_token(self, token: str) -> tuple[str, ...]:
+        """The words of a token of any length."""
+        token = SURPLUS.sub(r"\1\1\1", token)
+        if len(token) <= LONGEST or len(lattice(token, False)) <= LONGEST:
+            return self.best(token, False)
+        return tuple(self.best_long(token, False))
+
+    def best_long(self, run: str, spaced: bool = True) -> list[str]:
+        """A spaced run or a long token, decoded in stretches of bounded length that overlap."""
         step = 2 * LONGEST
-        return [w for at in range(0, len(run), step) for w in self.best(run[at : at + step + LONGEST], True)]
+        return [w for at in range(0, len(run), step) for w in self.best(run[at : at + step + LONGEST], spaced)]
 
 
 def restore(text: str | None, restorer: Restorer) -> str:

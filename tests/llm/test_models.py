@@ -48,6 +48,15 @@ def test_restores_disguised_words(spark, disguise):
     assert "trash" in toxicity.restore(f"so {disguise} it is", toxicity.Restorer(model))
 
 
+@pytest.mark.parametrize("disguise", ["tra" + "a" * 60 + "sh", "house.and/the-other_take,out.the/house-and_trash", "+@$#", "tr4sh/" * 9, "的" * 30 + "，trash。" + "的" * 30, "the/trash"])
+def test_restores_long_chained_and_letterless_tokens(spark, disguise):
+    d = spark.createDataFrame([("take out the trash and the other trash of this house tas " * 5,)], "text string")
+    c = toxicity.char_counts(d).toPandas()
+    model = toxicity.CharModel(c["code"].to_numpy(np.int64), c["n"].to_numpy(float))
+    want = "tas" if disguise == "+@$#" else "trash"
+    assert want in toxicity.Restorer(model).words(f"so {disguise} it is")
+
+
 def test_toxicity_on_held_out_rows(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = toxicity.toxicity(d, labels).join(labels, "doc_id").filter("held_out").toPandas()
