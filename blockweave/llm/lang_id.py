@@ -1,9 +1,10 @@
 """Language identification by word-first backoff.
 
 A word the model knows is scored by its log frequency in each language; a word it doesn't know is scored by its
-character n-grams, the longest ones first, and shorter ones only where none of the longer is known. Word and n-gram
-counts come from a bounded sample of the labelled rows that aren't held out and are cut to the most frequent, so the
-model has a fixed size and is broadcast. Prediction is one narrow Arrow pass over every whole text.
+character n-grams, the longest ones first, and shorter ones only where none of the longer is known. Every language of
+the labelled rows that aren't held out is learned. Word and n-gram counts come from a bounded sample of those rows,
+drawn by language, and are cut to the most frequent of each language, so the model has a bounded size and is broadcast.
+Prediction is one narrow Arrow pass over every whole text.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import kept, small_batches, spread_table
 
-#: Labelled documents the model is fitted on, about; languages, words and n-grams of each order kept for each language, at most.
-SAMPLE, LANGS, WORDS, GRAMS = 20_000, 64, 30_000, 8_000
+#: Labelled documents the model is fitted on, about; those of a language that are taken even beyond that, if it has them.
+SAMPLE, LEAST = 20_000, 32
+#: Words and n-grams of each order kept for each language, at most; with more than FULL languages each keeps fewer in proportion.
+WORDS, GRAMS, FULL = 30_000, 8_000, 64
 #: n-gram orders, longest first.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words that a document's evidence counts as, at most: longer texts are not surer without end.
 EVIDENCE = 20
-#: Unseen words a worker remembers.
-REMEMBERED = 200_000
+#: Words a worker remembers beside the model's; scores it remembers, and scores up to which a model has a full table.
+REMEMBERED, SCORES = 200_000, 12_800_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -43,13 +46,36 @@ def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     return rows.filter(share) if n > most else rows
 
 
+def quota(sizes: list[int], most: int) -> int:
+    """Rows to take of each language, so that about ``most`` are taken of all: small languages are taken whole."""
+    left, sizes = most, sorted(sizes)
+    for i, n in enumerate(sizes):
+        share = left // (len(sizes) - i)
+        if n > share:
+            return max(LEAST, share)
+        left -= n
+    return max([LEAST, *sizes])
+
+
+def stratified_sample(rows: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
+    """About ``most`` of the rows (id, text, lang), LEAST of each language at least; all rows if there are no more.
+
+    ``sizes``: the rows of each language. Rows are chosen by a hash of id and text, so rows without ids are spread too.
+    """
+    if sum(sizes.values()) <= most:
+        return rows
+    q = quota(list(sizes.values()), most)
+    share = rows.sparkSession.createDataFrame([(x, int((1 << 30) * min(1.0, q / n))) for x, n in sizes.items()], "lang string, share long")
+    return rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), F.col("id"), F.col("text")), F.lit(1 << 30)) < F.col("share")).drop("share")
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of a word between its boundary marks."""
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def model_counts(labelled: DataFrame) -> DataFrame:
+def model_counts(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> DataFrame:
     """From (lang, text): lang, kind (0 words, else the order), token, n, cut to the most frequent of each language and kind."""
     small_batches(labelled.sparkSession)
 
@@ -58,9 +84,9 @@ def model_counts(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
-        for lang, words in counts.items():
+        for lang, own_words in counts.items():
             found: Counter = Counter()
-            for w, c in words.items():
+            for w, c in own_words.items():
                 found[0, w] += c
                 for n in ORDERS:
                     for g in grams(w, n):
@@ -72,27 +98,45 @@ def model_counts(labelled: DataFrame) -> DataFrame:
 
     summed = labelled.select("lang", "text").mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")
-    return summed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)).drop("r")
+    return summed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("kind") == 0, words).otherwise(most_grams)).drop("r")
 
 
 class Model:
-    """Log frequencies of words and n-grams by language."""
+    """Log frequencies of words and n-grams by language; only those of languages that have a token are stored."""
 
     def __init__(self, langs: list[str], counts):
         """counts: rows (lang, kind, token, n) with lang one of ``langs``."""
         self.langs, self.rows = langs, {}
         at = {x: i for i, x in enumerate(langs)}
-        rows = sorted({(k, t) for k, t in zip(counts["kind"], counts["token"], strict=True)})
-        self.rows = {x: i for i, x in enumerate(rows)}
-        table = np.zeros((len(rows), len(langs)), np.float64)
-        kinds = np.array([k for k, _ in rows], int)
-        for lang, k, t, n in zip(counts["lang"], counts["kind"], counts["token"], counts["n"], strict=True):
-            table[self.rows[k, t], at[lang]] += n
-        for k in set(kinds.tolist()):
-            own = kinds == k
-            part = table[own] + 0.5
-            table[own] = np.log(part / part.sum(axis=0))
-        self.table = table.astype(np.float32)
+        of = np.fromiter((self.rows.setdefault(x, len(self.rows)) for x in zip(counts["kind"], counts["token"], strict=True)), np.int64)
+        lang, n = np.fromiter((at[x] for x in counts["lang"]), np.int64), np.fromiter(counts["n"], np.float64)
+        kind = np.fromiter(counts["kind"], np.int64)
+        self.base, gain = {}, np.zeros(len(n))
+        for k in set(kind.tolist()):
+            own = kind == k
+            total = np.bincount(lang[own], n[own], len(langs)) + 0.5 * len(np.unique(of[own]))
+            self.base[k] = np.log(0.5 / total).astype(np.float32)
+            gain[own] = np.log((n[own] + 0.5) / 0.5)
+        order = np.lexsort((lang, of))
+        self.lang, self.gain = lang[order].astype(np.int32), gain[order].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.rows)))])
+        self.table = None
+        if len(self.rows) * len(langs) <= SCORES:  # quicker to read, same scores
+            kinds = np.fromiter((k for k, _ in self.rows), np.int64, len(self.rows))
+            self.table = np.zeros((len(self.rows), len(langs)), np.float32)
+            for k, base in self.base.items():
+                self.table[kinds == k] = base
+            self.table[of[order], self.lang] += self.gain
+
+    def mean(self, kind: int, rows: list[int]) -> np.ndarray:
+        """The mean of rows of one kind."""
+        if self.table is not None:
+            return self.table[rows].mean(axis=0) if len(rows) > 1 else self.table[rows[0]]
+        out = self.base[kind].copy()
+        for r in rows:
+            own = slice(self.starts[r], self.starts[r + 1])
+            out[self.lang[own]] += self.gain[own] / np.float32(len(rows))
+        return out
 
     def backoff(self, word: str) -> np.ndarray | None:
         """Scores of a word the model doesn't know; None if it has no letter."""
@@ -100,7 +144,7 @@ class Model:
             return None
         for n in ORDERS:
             if known := [self.rows[n, g] for g in grams(word, n) if (n, g) in self.rows]:
-                return self.table[known].mean(axis=0)
+                return self.mean(n, known)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -108,17 +152,16 @@ class Predictor:
     """A model with the words it has met, in a worker process."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.most = model, min(REMEMBERED + len(model.rows), SCORES // max(1, len(model.langs)))
         self.forget()
 
     def forget(self) -> None:
-        m = self.model
-        self.at = {t: i for (k, t), i in m.rows.items() if k == 0}
-        self.own, self.n = np.concatenate([m.table, np.zeros((1024, len(m.langs)), np.float32)]), len(m.table)
+        self.at, self.own, self.n = {}, np.zeros((1024, len(self.model.langs)), np.float32), 0
 
     def learn(self, word: str) -> int:
         """The row of a word's scores, -1 without a letter."""
-        v = self.model.backoff(word)
+        m = self.model
+        v = m.mean(0, [own]) if (own := m.rows.get((0, word))) is not None else m.backoff(word)
         if v is None:
             self.at[word] = -1
             return -1
@@ -134,7 +177,7 @@ class Predictor:
         words = Counter(LETTERS.findall(text.lower())) if text else None
         if not words or not self.model.langs:
             return "und", 0.0
-        if len(self.at) > REMEMBERED + len(self.model.rows):
+        if len(self.at) > self.most:
             self.forget()
         get, learn = self.at.get, self.learn
         rows = [i if (i := get(w)) is not None else learn(w) for w in words]
@@ -151,11 +194,15 @@ class Predictor:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows that aren't held out: the sample's bound is ``sample`` documents."""
+    """A model of all languages of the labelled rows that aren't held out, from about ``sample`` documents."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    labelled = bounded_sample(rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("id"))), "id", sample)
-    langs = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
-    counts = model_counts(labelled.filter(F.col("lang").isin(langs))).toPandas() if langs else {k: [] for k in ("lang", "kind", "token", "n")}
+    rows = rows.filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the model has languages
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], {k: [] for k in ("lang", "kind", "token", "n")})
+    part = min(1.0, FULL / len(langs))
+    counts = model_counts(stratified_sample(rows, sizes, sample), math.ceil(WORDS * part), math.ceil(GRAMS * part)).toPandas()
     return Model(langs, counts)
 
 

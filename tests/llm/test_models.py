@@ -33,6 +33,16 @@ def test_language_id_learns_nothing(docs, empty):
     assert {r["lang_pred"] for r in lang_id.language_id(blank).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_and_many_languages(spark):
+    r, abc = random.Random(4), "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{k:02d}": ["".join(r.choices(abc, k=7)) for _ in range(12)] for k in range(90)}
+    rows = [(x, " ".join(r.choices(vocab[x], k=8))) for x in vocab for _ in range(3000 if x == "l00" else 24)]
+    d = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = lang_id.language_id(d, sample=1000).join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert all(g["lang_pred"] == g["lang"] for g in got) and len(got) == len(rows)
+    assert lang_id.quota([5, 50, 900, 10_000], 1000) == 472 and lang_id.quota([5, 50], 1000) == 50 and lang_id.quota([900] * 90, 1000) == lang_id.LEAST
+
+
 def test_backoff_goes_to_shorter_grams():
     counts = {"lang": ["a", "b"], "kind": [1, 1], "token": ["x", "y"], "n": [9, 9]}
     p = lang_id.Predictor(lang_id.Model(["a", "b"], counts))
