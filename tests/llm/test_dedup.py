@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from blockweave.llm import exact_dedup, simhash, substring_dedup
+from blockweave.llm import exact_dedup, similar, simhash, substring_dedup
 from blockweave.llm.components import components
 
 
@@ -142,3 +143,29 @@ def test_automaton():
     probe = "x a b a b b a c a b c".split()
     inside = lambda p: any(f" {' '.join(p)} " in f" {s} " for s in held)
     assert a.matches(probe) == [max(k for k in range(i + 2) if k == 0 or inside(probe[i + 1 - k : i + 1])) for i in range(len(probe))]
+
+
+def test_pipeline_drops_similar_texts(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(8)
+    rows = []
+    for k in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        for j in range(1, 4):
+            own = list(words)
+            for at in r.sample(range(300), (0, 3, 5, 12)[j]):
+                own[at] = "other"
+            rows.append((10 * k + j, " ".join(own)))
+    rows += [(1000, "a b"), (1001, "A  b"), (1002, "a c"), (1003, ""), (1004, None), (None, "a b")]
+    sets = {i: similar.shingles(t) for i, t in rows if i is not None}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both = len(sets[i] & sets[j])
+            if i < j and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {x: new if g == old else g for x, g in group.items()}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [x["doc_id"] for x in corpus_pipeline.near(spark, d, "").collect()]
+    assert got.count(None) == 1 and sorted(x for x in got if x is not None) == sorted(set(group.values()))
