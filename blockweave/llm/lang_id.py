@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, spread_table
+from .common import bounded, kept, spread_table, written
 
 #: Labelled documents the model is fitted on, about; those of a language that are taken even beyond that, if it has them.
 SAMPLE, LEAST = 20_000, 32
@@ -76,12 +76,13 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def model_counts(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAMS) -> DataFrame:
-    """From (lang, text): lang, kind (0 words, else the order), token, n, cut to the most frequent of each language and kind."""
-    small_batches(labelled.sparkSession)
+    """From (lang, text): lang, kind (0 words, else the order), token, n, cut to the most frequent of each language and kind.
 
+    Tokens that occur equally often stay or go together, so no more than asked for stay.
+    """
     def run(batches):
         counts: dict[str, Counter] = {}
-        for b in batches:
+        for b in bounded(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(LETTERS.findall((text or "").lower()))
         for lang, own_words in counts.items():
@@ -97,8 +98,13 @@ def model_counts(labelled: DataFrame, words: int = WORDS, most_grams: int = GRAM
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([k for k, _ in own], pa.int32()), pa.array([t for _, t in own]), pa.array([found[k] for k in own], pa.int64())], names=["lang", "kind", "token", "n"])
 
     summed = labelled.select("lang", "text").mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token")
-    return summed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.when(F.col("kind") == 0, words).otherwise(most_grams)).drop("r")
+    summed = written(summed)
+    # Tokens are cut by how often they occur: a row for each such number, so no window sees the tokens themselves.
+    steps = summed.groupBy("lang", "kind", "n").agg(F.count(F.lit(1)).alias("tokens"))
+    above = F.sum("tokens").over(Window.partitionBy("lang", "kind").orderBy(F.desc("n")))
+    fits = steps.withColumn("above", above).filter(F.col("above") <= F.when(F.col("kind") == 0, words).otherwise(most_grams))
+    least = fits.groupBy("lang", "kind").agg(F.min("n").alias("least"))  # as many rows as languages and orders
+    return summed.join(F.broadcast(least), ["lang", "kind"]).filter("n >= least").select("lang", "kind", "token", "n")
 
 
 class Model:
@@ -216,11 +222,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, sample))
     token = uuid.uuid4().hex
-    small_batches(spark)
 
     def run(batches):
         p = kept("language", token, lambda: Predictor(model.value))
-        for b in batches:
+        for b in bounded(batches, 2):
             got = [p.predict(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -228,17 +233,22 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without rows whose language isn't identified: ``und``, or a score under ``least``. All columns stay; no row moves."""
+def drop_unidentified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without rows whose language isn't identified: ``und``, or a score under ``least``. All columns stay; no row moves.
+
+    Where no row has a label nothing can be learned, and all rows stay.
+    """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+    learned = fit(docs, id_col, text_col, lang_col)
+    if not learned.langs:
+        return docs
+    model = spark.sparkContext.broadcast(learned)
     token = uuid.uuid4().hex
-    small_batches(spark)
     at = docs.columns.index(text_col)
 
     def run(batches):
         p = kept("language", token, lambda: Predictor(model.value))
-        for b in batches:
+        for b in bounded(batches, at):
             got = [p.predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
 

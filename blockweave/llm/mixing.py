@@ -60,7 +60,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     - A null text has no words. A null source is a source like any other, ranked last.
     - Every row is judged by its id alone, so rows repeated with their id share one verdict; a null id has one too.
-    - A source without words has target 0 and no copies. An empty table gives no rows.
+    - A source without words has target 0, and its rows one copy each, of no words. An empty table gives no rows.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source")
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     targets = targets.withColumnRenamed("source", "_s")
     joined = rows.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_s")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     copies = F.floor(rate) + F.when(uniform(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
     return joined.select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 

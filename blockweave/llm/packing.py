@@ -7,7 +7,7 @@ Whole windows are sequences by themselves. Bodies come in WINDOW / UNIT - 1 leng
 lengths that fill a window exactly are enumerated; non-negative least squares against the histogram of body lengths
 says how often to repeat each. The solution is rounded down and dealt out in every bucket of documents on its own, in
 proportion to what the bucket holds; what is left of bodies, and all tails, is packed greedily there, best fit first.
-A bucket holds a bounded number of documents, so a task's work doesn't grow with the input, and leaves a few
+A bucket holds a bounded number of pieces, so a task's work doesn't grow with the input, and leaves a few
 part-filled sequences at most.
 """
 
@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, spread_table, written
+from .common import bounded, kept, spread_table, written
 
 #: Tokens in a sequence; the grain bodies are cut to; lengths in a combination, at most; the id after each document.
 WINDOW, UNIT, DEPTH, END = 2048, 64, 4, 1
-#: Documents that one bucket packs, about.
-BUCKET = 20_000
+#: Pieces that one bucket packs, about.
+BUCKET = 40_000
 #: Encoded words a worker remembers in each of two generations.
 REMEMBERED = 150_000
 
@@ -129,13 +129,12 @@ def cut(n: int, window: int = WINDOW, unit: int = UNIT) -> list[tuple[int, int]]
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: a row for each piece of each row of ``docs``."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names, end = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], np.array([END], "<u4").tobytes()
 
     def run(batches):
         words = kept("words", path, lambda: Words(path))
-        for b in batches:
+        for b in bounded(batches, 1):
             at, out = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = words.ids(text) + end
@@ -242,8 +241,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     cuts = written(pieces(docs, path, id_col, text_col))
     body = cuts.filter((F.col("length") % UNIT == 0) & (F.col("length") < WINDOW))
     shares = plan({int(r["u"]): int(r["n"]) for r in body.groupBy((F.col("length") / UNIT).cast("int").alias("u")).agg(F.count(F.lit(1)).alias("n")).collect()})
-    n = cuts.filter("start = 0").count()
-    buckets = max(1, -(-n // bucket))
+    buckets = max(1, -(-cuts.count() // bucket))
     names = [*cuts.columns, "sequence_id", "offset"]
     kind = dict(cuts.dtypes)["doc_id"]
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread_table, written
+from .common import bounded, spread_table, written
 from .components import components
 
 #: Words in a shingle, differing bits up to which fingerprints link.
@@ -46,11 +46,10 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for each row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -99,16 +98,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the least id of each component, in all its columns.
-
-    Rows without an id aren't judged and stay. Rows that repeat one id share its verdict.
-    """
-    judged = docs.filter(F.col(id_col).isNotNull())
-    gone = near_dedup(judged, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies in the whole of ``documents``."""
     return near_dedup(spread_table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, spread_table
+from .common import bounded, kept, spread_table
 
 #: A document above this many tokens is over the limit.
 LIMIT = 512
@@ -122,12 +122,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     - A null text counts as empty: 0 bytes, 0 tokens. Ids may be null or repeat; each row is counted by itself.
     - An empty table gives no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # no larger than the vocabulary
 
     def run(batches):
         known = kept("counts", path, lambda: Counts(path, whole.value))
-        for b in batches:
+        for b in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(known.of(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
