@@ -5,17 +5,18 @@ cut into shards whose suffix automata do fit, by content: a window of words goes
 least hash among the GRAM-word runs inside it, so equal windows always meet in one shard and a window that has no
 equal never needs to travel far. Consecutive windows with one minimizer form a piece, and only pieces move:
 
-1. Minimizers are counted. Those that occur once prove that no window around them repeats.
-2. Pieces of repeated minimizers are gathered and equal ones collapse to their first place. Where all pieces of a
-   minimizer are equal, the first one is new and every later one repeats.
-3. Where pieces of a minimizer differ, their words go to that minimizer's shard. There, in the order of first places,
-   each piece is streamed through the suffix automaton of the pieces before it; its matching statistics say which of
-   its windows are there already. A minimizer with very many different pieces is split further, into its windows,
-   which are sharded by their own words.
+1. One scan cuts all texts into pieces, without their words. Minimizers are counted; those that occur once prove that
+   no window around them repeats.
+2. Places of pieces with equal content hashes share one decision, so a hot passage travels once. A second scan gives
+   the words of each piece's first place.
+3. In its shard, in the order of first places, each piece is streamed through the suffix automaton of those before it.
+   The matching statistics say which of its windows are there already, and, once it has been taken in, which windows
+   its further places repeat. A minimizer with more than SPLIT different pieces would outgrow a shard; its windows are
+   grouped by their own words instead, which is exact as well.
 4. Each text gets the places of its repeated windows and drops the words they cover.
 
-The second and third scan of the texts leave out what a bit table of a fixed size rules out. The table is a filter
-only: what it lets through by chance is told apart by exact joins, so it costs time and never results.
+The second scan leaves out what a bit table of a fixed size rules out. The table is a filter only: what it lets
+through by chance is told apart by exact joins, so it costs time and never results.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread_table, written
+from .common import bounded, discard, sortable, spread_table, written
 
 #: Words in a window, and in the runs that minimizers are chosen from.
 WINDOW, GRAM = 20, 6
@@ -38,8 +39,6 @@ SPLIT, SHARD = 1_000, 4_000
 BITS = 26
 #: Word hashes a worker remembers.
 REMEMBERED = 300_000
-#: Ids and starts of rows without an id come after all others.
-LAST = (1 << 63) - 1
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 
@@ -199,96 +198,92 @@ class Automaton:
         return out
 
 
-def repeated_masks(pieces: pd.DataFrame, window: int = WINDOW) -> np.ndarray:
-    """For pieces (words, doc, start) of one shard: the windows of each, as bits, that start earlier in another piece."""
-    order = np.lexsort((pieces["start"].to_numpy(), pieces["doc"].to_numpy()))
-    automaton, masks, words = Automaton(), np.zeros(len(pieces), np.int64), pieces["words"].to_numpy()
-    for i in order:
-        own = words[i].split(b" ")
-        masks[i] = sum(1 << j for j, got in enumerate(automaton.matches(own)[window - 1 :]) if got >= window)
-        automaton.add(own)
-    return masks
-
-
-def _scan(docs: DataFrame, emit, schema: str) -> DataFrame:
-    """``emit(ids, words, pieces)`` over Arrow batches of (doc, text)."""
+def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
+    """``emit(batch, words, pieces)`` over batches of (no_id, doc, row, text)."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches):
-        for b in batches:
-            words = [words_of(t) for t in b.column(1).to_pylist()]
-            ids = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in emit(ids, words, cut_pieces(words))], names=names)
+        for b in bounded(batches, 3):
+            words = [words_of(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in emit(b, words, cut_pieces(words))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, schema)
+def _decided(shard: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
+    """For the different pieces of one shard, each with its words: mask, the windows that start earlier in the shard, and
+    again, those that an equal piece further on repeats. Both are matching statistics of the piece: before the
+    automaton takes it in, and after."""
+    shard = shard.sort_values(["no_id", "doc", "row", "start"], kind="stable", ignore_index=True)
+    automaton, masks = Automaton(), np.zeros((2, len(shard)), np.int64)
+    for i, words in enumerate(shard["words"]):
+        own = words.split(b" ")
+        for k in (0, 1):
+            masks[k, i] = sum(1 << j for j, got in enumerate(automaton.matches(own)[window - 1 :]) if got >= window)
+            if not k:
+                automaton.add(own)
+    return shard.assign(mask=masks[0], again=masks[1])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, shard: int = SHARD) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     - A null text has no words. Texts shorter than a window lose nothing.
-    - Earlier means a smaller id, or the same id and an earlier start. Rows repeated with their id count as one
-      document, so they don't repeat each other; rows without an id count as one document after all others.
+    - A document is an id with a text. Earlier means a smaller id, null ids last; of one id with several texts a smaller
+      hash of the text; in one text an earlier start. Rows that repeat id and text, null ids included, are one document
+      and don't repeat each other; rows that share an id only are documents of their own.
     - An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
-
-    anchors = _scan(rows, lambda ids, words, c: [c["anchor"]], "anchor long")
-    twice = written(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"))
-    near = spark.sparkContext.broadcast(filter_bits(twice, F.col("anchor")))
-
-    def candidates(ids, words, c):
-        ok = passes(near.value, c["anchor"])
-        return [c["anchor"][ok], c["piece"][ok], ids[c["doc"][ok]], c["start"][ok], c["n"][ok]]
-
-    places = written(_scan(rows, candidates, "anchor long, piece long, doc long, start long, n long").join(twice, "anchor", "left_semi"))
-    first = places.groupBy("anchor", "piece", "n").agg(F.min(F.struct("doc", "start")).alias("first"))
-    first = written(first.select("anchor", "piece", "n", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")))
-    variety = written(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-    mixed = written(first.join(variety, "anchor"))
-
-    spot = F.col("piece").bitwiseXOR(F.col("doc")).bitwiseXOR(F.shiftleft(F.col("start"), 9))
-    wanted = spark.sparkContext.broadcast(filter_bits(mixed, spot))
-
-    def contents(ids, words, c):
-        doc, start = ids[c["doc"]].astype(np.int64), c["start"].astype(np.int64)
-        ok = np.flatnonzero(passes(wanted.value, c["piece"] ^ doc ^ (start << 9)))
+    own = F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col))
+    rows = docs.select(*sortable(docs, id_col), own.alias("row"), F.col(text_col).alias("text"))
+    place = f"no_id boolean, doc {dict(rows.dtypes)['doc']}, row long, start int"
+
+    def cut(b, words, c):
+        at = pa.array(c["doc"])
+        return [c["anchor"], c["piece"], c["n"].astype(np.int8), *(b.column(k).take(at) for k in range(3)), c["start"].astype(np.int32)]
+
+    pieces = written(_scan(rows, cut, f"anchor long, piece long, n tinyint, {place}"))
+    twice = written(pieces.groupBy("anchor").count().filter("count > 1").select("anchor"))
+    places = written(pieces.join(twice, "anchor", "left_semi"))
+    discard(pieces, twice)
+    first = places.groupBy("anchor", "piece", "n").agg(F.min(F.struct("no_id", "doc", "row", "start")).alias("first"))
+    first = written(first.select("anchor", "piece", "n", "first.*"))
+    crowded = written(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > split).select("anchor"))
+
+    spot = F.col("piece").bitwiseXOR(F.col("row")).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 9))
+    wanted = spark.sparkContext.broadcast(filter_bits(first, spot))
+
+    def contents(b, words, c):
+        row = b.column(2).to_numpy()[c["doc"]]
+        ok = np.flatnonzero(passes(wanted.value, c["piece"] ^ row ^ (c["start"] << 9)))
         text = [b" ".join(words[d][s : s + n + WINDOW - 1]) for d, s, n in zip(c["doc"][ok], c["start"][ok], c["n"][ok], strict=True)]
-        return [c["anchor"][ok], c["piece"][ok], doc[ok], start[ok], pa.array(text, pa.binary())]
+        return [c["anchor"][ok], c["piece"][ok], row[ok], c["start"][ok].astype(np.int32), pa.array(text, pa.binary())]
 
-    read = _scan(rows, contents, "anchor long, piece long, doc long, start long, words binary")
-    known = written(mixed.join(read, ["anchor", "piece", "doc", "start"]).dropDuplicates(["anchor", "piece"]))
-    shards = max(1, -(-known.count() // shard))
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
+    read = written(_scan(rows, contents, "anchor long, piece long, row long, start int, words binary"))
+    shards = max(1, -(-first.count() // shard))
+    deal = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
 
-    def mask_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(mask=repeated_masks(pdf))[["anchor", "piece", "doc", "start", "mask"]]
+    def decide(pdf: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.drop_duplicates(["anchor", "piece", "row", "start"])  # rows repeated with their text
+        return _decided(pdf.merge(texts, on=["anchor", "piece", "row", "start"]))[["anchor", "piece", "mask", "again"]]
 
-    usual = known.filter(F.col("kinds") <= split).select("anchor", "piece", "doc", "start", "words", deal("anchor").alias("shard"))
-    # Of a minimizer with very many pieces, each window is a piece by itself; equal ones collapse before they are dealt.
-    parts = F.split(F.decode("words", "ISO-8859-1"), " ")
-    each = known.filter(F.col("kinds") > split).select("anchor", "piece", "doc", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.encode(F.array_join(F.slice(parts, i, WINDOW), " "), "ISO-8859-1"))).alias("j", "words"))
-    heads = each.groupBy("words").agg(F.min(F.struct("doc", F.expr("start + j").alias("start"), "anchor", "piece", "j")).alias("f"))
-    singles = heads.select("f.anchor", "f.piece", "f.doc", "f.start", "words", deal("words").alias("shard"))
-    masks = usual.groupBy("shard").applyInPandas(mask_shard, "anchor long, piece long, doc long, start long, mask long")
-    new = singles.groupBy("shard").applyInPandas(mask_shard, "anchor long, piece long, doc long, start long, mask long").filter("mask = 0")
-    hot = known.filter(F.col("kinds") > split).select("anchor", "piece", "n", F.col("doc").alias("d"), F.col("start").alias("s"))
-    fresh = new.join(hot, ["anchor", "piece"]).select("anchor", "piece", F.expr("shiftleft(1L, cast(start - s as int))").alias("bit"))
-    fresh = fresh.groupBy("anchor", "piece").agg(F.bit_or("bit").alias("bits"))
-    full = F.expr("shiftleft(1L, cast(n as int)) - 1")
-    split_masks = hot.join(fresh, ["anchor", "piece"], "left").select("anchor", "piece", full.bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0)))).alias("mask"))
-    masks = written(masks.select("anchor", "piece", "mask").union(split_masks))
+    usual = first.join(crowded, "anchor", "left_anti").withColumn("shard", deal)
+    met = usual.groupBy("shard").cogroup(read.select("*", deal).groupBy("shard"))
+    masks = met.applyInPandas(decide, "anchor long, piece long, mask long, again long")
+    if not crowded.isEmpty():
+        masks = masks.union(_by_window(first.join(crowded, "anchor"), read))
+    masks = written(masks)
+    discard(read)
 
-    verdicts = written(first.join(masks, ["anchor", "piece"], "left").select("anchor", "piece", F.col("doc").alias("fd"), F.col("start").alias("fs"), F.coalesce("mask", F.lit(0)).alias("mask")))
-    is_first = (F.col("doc") == F.col("fd")) & (F.col("start") == F.col("fs"))
-    marks = places.join(verdicts, ["anchor", "piece"]).select("doc", "start", F.when(is_first, F.col("mask")).otherwise(full).alias("mask")).filter("mask > 0")
-    by_doc = marks.select("doc", F.shiftleft("start", 16).bitwiseOR(F.col("mask")).alias("mark")).groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    verdicts = first.join(masks, ["anchor", "piece"]).select("anchor", "piece", F.col("row").alias("first_row"), F.col("start").alias("first_start"), "mask", "again")
+    is_first = (F.col("row") == F.col("first_row")) & (F.col("start") == F.col("first_start"))
+    marks = places.join(verdicts, ["anchor", "piece"]).select("no_id", "doc", "row", "start", F.when(is_first, F.col("mask")).otherwise(F.col("again")).alias("mask")).filter("mask > 0")
+    by_row = marks.select("no_id", "doc", "row", F.shiftleft(F.col("start").cast("long"), 16).bitwiseOR(F.col("mask")).alias("mark")).groupBy("no_id", "doc", "row").agg(F.collect_list("mark").alias("marks"))
 
     def finish(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             n, gone, digest, kept = [], [], [], []
             for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = words_of(text)
@@ -307,11 +302,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(left.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
-    joined = texts.join(by_doc, "doc", "left").select("doc_id", "text", "marks")
+    texts = docs.select(F.col(id_col).alias("doc_id"), *sortable(docs, id_col), own.alias("row"), F.col(text_col).alias("text"))
+    joined = texts.join(by_row, ["no_id", "doc", "row"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def _by_window(hot: DataFrame, read: DataFrame) -> DataFrame:
+    """anchor, piece, mask, again for pieces of crowded minimizers, window by window: windows are grouped by their words
+    themselves, and all but the first place of each repeat it. Groups combine on the map side."""
+    known = hot.join(read, ["anchor", "piece", "row", "start"]).dropDuplicates(["anchor", "piece"])
+    parts = F.split(F.decode("words", "ISO-8859-1"), " ")
+    windows = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.encode(F.array_join(F.slice(parts, i, WINDOW), " "), "ISO-8859-1"))
+    each = known.select("anchor", "piece", "no_id", "doc", "row", "start", F.posexplode(windows).alias("j", "window"))
+    heads = each.groupBy("window").agg(F.min(F.struct("no_id", "doc", "row", F.expr("start + j"), "anchor", "piece", "j")).alias("f"))
+    fresh = heads.groupBy("f.anchor", "f.piece").agg(F.bit_or(F.expr("shiftleft(1L, f.j)")).alias("bits"))
+    full = F.expr("shiftleft(1L, cast(n as int)) - 1")
+    return hot.join(fresh, ["anchor", "piece"], "left").select("anchor", "piece", full.bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0)))).alias("mask"), full.alias("again"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows in the whole of ``documents``."""
     return substring_dedup(spread_table(spark, sf_dir, "documents")).drop("kept_text")
