@@ -2,9 +2,10 @@
 
 A character language model is counted over every document: 4-grams of letters and word bounds, summed by executors.
 Tokens that hold leetspeak, stretched letters or marks between letters, and runs of single characters, become lattices:
-every observed character may stand for some letters, for itself, or for nothing. Viterbi decoding keeps the best paths
-under the language model and the channel's costs. A linear model over the words of the restored text, learned from a
-bounded sample of the labelled rows that aren't held out, gives the score.
+every observed character may stand for some letters, for itself, or for nothing. Viterbi decoding finds the likeliest
+reading under the language model and the channel's costs; it is exact, as its states are the three classes that the
+model's next probability hangs on. A linear model over the words of the restored text, learned from a bounded sample of
+the labelled rows that aren't held out, gives the score; texts are restored alike for learning and for scoring.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, spread_table, table
+from .common import bounded, kept, spread_table, table, written
 from .lang_id import bounded_sample, held_out
 
 #: Labelled documents the scorer is fitted on, about; words it weighs, at most; scores from which a text is toxic.
 SAMPLE, FEATURES, THRESHOLD = 12_000, 600, 0.3
 #: Letters of a word's beginnings that are features beside the word itself.
 STEMS = (4, 5, 6)
-#: Paths that decoding keeps; places of a token decoded as one lattice, longer ones in stretches; decoded tokens a worker remembers.
-PATHS, LONGEST, REMEMBERED = 12, 40, 200_000
+#: Decoded tokens that a worker remembers, and the length up to which it does.
+REMEMBERED, SHORT = 200_000, 120
 #: What the characters of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c"}
 #: Costs, in nats: reading a disguise, dropping one of several equal letters, dropping a mark or a digit, a bound inside a spaced run.
@@ -37,6 +38,7 @@ READ, SQUEEZE, DROP, BREAK = 0.4, 0.2, 1.5, 0.3
 EDGES = ".,;:!?\"'()[]{}<>*_~-|&%#"
 #: Classes of the language model: 0 bound, 1 to 26 letters, 27 any other letter.
 CLASSES, ORDER = 28, 4
+CONTEXTS = CLASSES ** (ORDER - 1)
 #: Runs of single characters, at least three, with a space or a mark between them.
 SPACED = re.compile(r"(?<![^\s])[\w@$!|+](?:[ .\-_*]{1,2}[\w@$!|+](?=[ .\-_*]|\s|[,;:?!]|$)){2,}")
 STRETCHED = re.compile(r"(.)\1\1")
@@ -55,11 +57,10 @@ def _class_table() -> np.ndarray:
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """code, n: how often each 4-gram of classes stands in all texts. A code is the 4-gram read as a number to base CLASSES."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         classes, total = _class_table(), np.zeros(CLASSES**ORDER, np.int64)
-        for b in batches:
+        for b in bounded(batches, 0):
             joined = " ".join(t for t in b.column(0).to_pylist() if t)
             x = classes[np.frombuffer(f" {joined} ".encode("utf-8", "replace"), np.uint8)]
             x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]  # one bound between words, and between texts
@@ -89,11 +90,7 @@ class CharModel:
             lower = np.tile(p.reshape(-1, CLASSES), (len(c) // max(1, p.size // CLASSES), 1)) if order > 1 else p[None]
             p = (c + (kinds + 0.5) * lower) / (c.sum(axis=1, keepdims=True) + kinds + 0.5)  # Witten-Bell
         self.log = np.log(p).astype(np.float32).reshape(-1)
-
-    def step(self, context: tuple[int, int, int], nxt: int) -> float:
-        """Log probability of a class after three."""
-        a, b, c = context
-        return float(self.log[((a * CLASSES + b) * CLASSES + c) * CLASSES + nxt])
+        self.cost = (-self.log.astype(np.float64)).tolist()
 
 
 def class_of(ch: str) -> int:
@@ -127,24 +124,33 @@ def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharModel, spaced: bool = False, keep: int = PATHS) -> list[str]:
-    """The likeliest readings of a token, best first, by Viterbi decoding: of paths that end in one context the best few stay."""
-    paths: list[tuple[float, tuple[int, int, int], str]] = [(0.0, (0, 0, 0), "")]
+def decode(token: str, model: CharModel, spaced: bool = False) -> str:
+    """The likeliest reading of a token that isn't empty, by Viterbi decoding; empty if there is none.
+
+    A state is the context of the next class, as a number; -1 is the start, where nothing has been read yet.
+    """
+    cost, paths = model.cost, {-1: (0.0, None)}
     for place in lattice(token, spaced):
-        grown: dict[tuple, tuple[float, tuple[int, int, int], str]] = {}
-        for cost, context, text in paths:
-            for reading, extra in place:
-                c, ctx = cost + extra, context
-                for ch in reading:
-                    k = class_of(ch)
-                    c -= model.step(ctx, k)
-                    ctx = (ctx[1], ctx[2], k)
-                new = text + reading
-                if (old := grown.get(new)) is None or c < old[0]:
-                    grown[new] = (c, ctx, new)
-        paths = sorted(grown.values(), key=lambda p: (p[0], p[2]))[:keep]
-    ends = sorted((c - model.step(ctx, 0), text) for c, ctx, text in paths)
-    return list(dict.fromkeys(t for _, t in ends if t))
+        reads = [(tuple(map(class_of, r)), extra, r) for r, extra in place]
+        grown: dict[int, tuple] = {}
+        for state, (so_far, back) in paths.items():
+            for classes, extra, reading in reads:
+                c, x = so_far + extra, state
+                if classes:
+                    x = max(x, 0)
+                    for k in classes:
+                        at = x * CLASSES + k
+                        c += cost[at]
+                        x = at % CONTEXTS
+                if (old := grown.get(x)) is None or c < old[0]:
+                    grown[x] = (c, (back, reading))
+        paths = grown
+    ends = [(c + cost[x * CLASSES], x) for x, (c, _) in paths.items() if x >= 0]
+    out, back = [], paths[min(ends)[1]][1] if ends else None
+    while back:
+        back, reading = back
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 def features(words) -> set[str]:
@@ -163,21 +169,14 @@ def pieces(token: str) -> list[str]:
 
 
 class Restorer:
-    """A worker's decoded tokens.
+    """A worker's decoded tokens. ``only``: the features to report; all if None."""
 
-    ``known``: words that a reading should be, if one of the likeliest is. ``only``: the features to report; all if None.
-    """
+    def __init__(self, model: CharModel, only=None):
+        self.model, self.only, self.seen = model, only, {}
 
-    def __init__(self, model: CharModel, known=frozenset(), only=None):
-        self.model, self.known, self.only, self.seen = model, known, only, {}
-
-    def best(self, token: str, spaced: bool) -> tuple[str, ...]:
-        """The words a disguised token is read as."""
-        readings = decode(token, self.model, spaced)
-        for r in readings:
-            if any(w in self.known for w in r.split()):
-                return tuple(r.split())
-        return tuple(readings[0].split()) if readings else ()
+    def best(self, token: str, spaced: bool = False) -> tuple[str, ...]:
+        """The words that a disguised token or a spaced run is read as."""
+        return tuple(decode(SURPLUS.sub(r"\1\1\1", token), self.model, spaced).split())
 
     def read(self, token: str) -> tuple[str, ...]:
         """The words that a lower-case token without white space stands for."""
@@ -187,10 +186,10 @@ class Restorer:
         if core.isalpha() and not STRETCHED.search(core):
             plain = (core,)
             odd = token.lstrip(".,;:?\"'[]{}*_~-&%#").rstrip(".,;:?\"'()[]{}*_~-&%#!|")
-            return plain if odd == core or not any(c in LEET for c in odd) else plain + self.best_token(odd)
+            return plain if odd == core or not any(c in LEET for c in odd) else plain + self.best(odd)
         if not any(c.isalpha() or c in LEET for c in token):
             return ()
-        return self.best_token(token.strip(".,;:?\"'[]{}*_~-&%#"))
+        return self.best(token.strip(".,;:?\"'[]{}*_~-&%#"))
 
     def report(self, words) -> tuple[str, ...]:
         """The features of words that are asked for."""
@@ -210,31 +209,19 @@ class Restorer:
             got = seen.get(token)
             if got is None:
                 got = self.report([*self.read(token), *(w for p in pieces(token) for w in self.read(p))])
-                if len(token) <= 3 * LONGEST:
+                if len(token) <= SHORT:
                     seen[token] = got
             if got:
                 out.update(got)
         for m in SPACED.finditer(text):
-            out.update(self.report(self.best_long(m.group())))
+            out.update(self.report(self.best(m.group(), True)))
         return out
 
-    def best_token(self, token: str) -> tuple[str, ...]:
-        """The words of a token of any length."""
-        token = SURPLUS.sub(r"\1\1\1", token)
-        if len(token) <= LONGEST or len(lattice(token, False)) <= LONGEST:
-            return self.best(token, False)
-        return tuple(self.best_long(token, False))
-
-    def best_long(self, run: str, spaced: bool = True) -> list[str]:
-        """A spaced run or a long token, decoded in stretches of bounded length that overlap."""
-        step = 2 * LONGEST
-        return [w for at in range(0, len(run), step) for w in self.best(run[at : at + step + LONGEST], spaced)]
-
 
 def restore(text: str | None, restorer: Restorer) -> str:
     """A text with its disguised stretches replaced by what they stand for; white space is kept."""
     text = (text or "").translate(ZERO_WIDTH)
-    text = SPACED.sub(lambda m: " ".join(restorer.best_long(m.group().lower())), text)
+    text = SPACED.sub(lambda m: " ".join(restorer.best(m.group().lower(), True)), text)
     return re.sub(r"\S+", lambda m: m.group() if m.group().strip(EDGES).isalpha() and not STRETCHED.search(m.group()) else " ".join(restorer.read(m.group().lower())) or m.group(), text)
 
 
@@ -277,10 +264,10 @@ def fit(docs: DataFrame, labels: DataFrame, model, id_col: str = "doc_id", text_
 
     def run(batches):
         r = Restorer(model.value)
-        for b in batches:
+        for b in bounded(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(r.words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
 
-    read = rows.select("y", "text").mapInArrow(run, "y int, words array<string>")
+    read = written(rows.select("y", "text").mapInArrow(run, "y int, words array<string>"))
     n = Counter({r["y"]: r["n"] for r in read.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()})
     if not n[0] or not n[1]:
         return Scorer({}, math.log((n[1] + 0.5) / (n[0] + 0.5)) if n else -3.0)
@@ -316,13 +303,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = spark.sparkContext.broadcast(char_model)
     scorer = spark.sparkContext.broadcast(fit(docs, labels, model, id_col, text_col, label_col, sample))
     token = uuid.uuid4().hex
-    small_batches(spark)
 
     def run(batches):
         s = scorer.value
         known = frozenset(w for w, x in s.weights.items() if x > 0)
-        r = kept("restorer", token, lambda: Restorer(model.value, known, frozenset(s.weights)))
-        for b in batches:
+        r = kept("restorer", token, lambda: Restorer(model.value, frozenset(s.weights)))
+        for b in bounded(batches, 2):
             words = [r.words(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.score(w) for w in words], pa.float64()), pa.array([sorted(w & known) for w in words], pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "restored"])
 
