@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
 The tagger is trained here, in numpy, from labelled spans: those that the patterns find in a bounded sample of the
-texts, and copies of them in other spellings (no plus sign, other separators, spelled-out at and dot) under the same
-label. Texts are cut into overlapping windows wherever a digit or an at sign stands, since nothing it looks for is
-without one; each window is decoded by Viterbi, and where windows overlap a character takes its tag from the window it
-lies deepest in, over the whole text. Spans so found are kept if they hold what their kind must hold and touch no span
-of the patterns.
+texts, copies of them in other spellings (no plus sign, other separators, spelled-out at and dot) under the same label, random
+ones of each kind put into texts without any, and dates, counts and codes under no label. Texts are cut into overlapping
+windows wherever a digit, an at sign or a spelled-out one stands, since nothing it looks for is without one; each window
+is decoded by Viterbi, and where windows overlap a character takes its tag from the window it lies deepest in, over the
+whole text.
+Spans so found are kept if they have the digits or marks that their kind can't be without and touch no span of the
+patterns.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread_table
+from .common import bounded, spread_table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window and from one to the next; characters around a trigger that windows cover.
-WIDTH, STEP, MARGIN = 64, 32, 24
-#: Windows the tagger is trained on, at most; steps, windows in a step, sizes of the embedding and of each direction's state; seed.
-TRAIN, STEPS, BATCH, EMBED, HIDDEN, SEED = 3_000, 160, 48, 12, 20, 11
+WIDTH, STEP, MARGIN = 64, 32, 32
+#: Windows the tagger is trained on, at most, half of them with spans; steps, windows in a step, sizes of the embedding and of each direction's state; seed.
+TRAIN, STEPS, BATCH, EMBED, HIDDEN, SEED = 3_000, 320, 64, 12, 20, 11
 #: Windows tagged at once.
 AT_ONCE = 2_048
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
@@ -35,7 +37,8 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
+TRIGGER = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]|(?<=\w) at (?=[\w-]+ dot \w)", re.IGNORECASE)
+AT_MARK, DOT_MARK = re.compile(r"@|\bat\b", re.IGNORECASE), re.compile(r"\.|\bdot\b", re.IGNORECASE)
 
 Span = tuple[str, int, int]
 
@@ -100,17 +103,18 @@ def windows_of(text: str) -> list[int]:
 class Tagger:
     """A bidirectional LSTM over characters with a linear-chain CRF on top."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, seed: int = SEED, dtype=np.float32):
         r = np.random.default_rng(seed)
         init = lambda *shape: r.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.p = {"embed": r.normal(0, 0.3, (CODES, EMBED)), "out": init(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS)), "start": np.zeros(TAGS)}
         for d in "fb":
             self.p |= {f"wx{d}": init(EMBED, 4 * HIDDEN), f"wh{d}": init(HIDDEN, 4 * HIDDEN), f"b{d}": np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])}
+        self.p = {k: x.astype(dtype) for k, x in self.p.items()}
 
     def _run(self, e: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States of one direction over (batch, time, embedding)."""
         n, t, _ = e.shape
-        x, h, c, out = e @ self.p[f"wx{d}"] + self.p[f"b{d}"], np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.empty((n, t, HIDDEN))
+        x, h, c, out = e @ self.p[f"wx{d}"] + self.p[f"b{d}"], np.zeros((n, HIDDEN), e.dtype), np.zeros((n, HIDDEN), e.dtype), np.empty((n, t, HIDDEN), e.dtype)
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             g = x[:, k] + h @ self.p[f"wh{d}"]
             s = 1 / (1 + np.exp(-g[:, : 3 * HIDDEN]))
@@ -143,10 +147,10 @@ class Tagger:
             s = score[:, :, None] + trans
             back[:, k] = s.argmax(1)
             score = s.max(1) + em[:, k]
-        tags = np.empty(codes.shape, np.int64)
+        tags = np.empty(codes.shape, np.int8)
         tags[:, -1] = score.argmax(1)
         for k in range(codes.shape[1] - 1, 0, -1):
-            tags[:, k - 1] = np.take_along_axis(back[:, k], tags[:, k, None], 1)[:, 0]
+            tags[:, k - 1] = np.take_along_axis(back[:, k], tags[:, k, None].astype(np.int64), 1)[:, 0]
         return tags
 
     def gradients(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -172,12 +176,12 @@ class Tagger:
         np.subtract.at(d_start, tags[:, 0], 1.0)
         d_em[at] -= 1.0
         d_em /= n
-        g = {"trans": pair / n, "start": d_start / n, "bias": d_em.sum((0, 1)), "out": np.einsum("nth,ntk->hk", tape["h"], d_em)}
+        g = {"trans": pair / n, "start": d_start / n, "bias": d_em.sum((0, 1)), "out": np.tensordot(tape["h"], d_em, ((0, 1), (0, 1)))}
         d_h = d_em @ self.p["out"].T
         d_e = np.zeros_like(tape["e"])
         for j, d in enumerate("fb"):
-            dx, dwh = np.zeros((n, t, 4 * HIDDEN)), np.zeros((HIDDEN, 4 * HIDDEN))
-            dh, dc = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+            dx, dwh = np.zeros((n, t, 4 * HIDDEN), em.dtype), np.zeros((HIDDEN, 4 * HIDDEN), em.dtype)
+            dh, dc = np.zeros((n, HIDDEN), em.dtype), np.zeros((n, HIDDEN), em.dtype)
             for k, i, f, o, zz, tc, before, old in reversed(tape[d]):
                 dh = dh + d_h[:, k, j * HIDDEN : (j + 1) * HIDDEN]
                 dc = dc + dh * o * (1 - tc * tc)
@@ -185,7 +189,7 @@ class Tagger:
                 dx[:, k] = dg
                 dwh += before.T @ dg
                 dh, dc = dg @ self.p[f"wh{d}"].T, dc * f
-            g |= {f"wh{d}": dwh, f"b{d}": dx.sum((0, 1)), f"wx{d}": np.einsum("nte,ntk->ek", tape["e"], dx)}
+            g |= {f"wh{d}": dwh, f"b{d}": dx.sum((0, 1)), f"wx{d}": np.tensordot(tape["e"], dx, ((0, 1), (0, 1)))}
             d_e += dx @ self.p[f"wx{d}"].T
         g["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(g["embed"], codes, d_e)
@@ -231,27 +235,56 @@ def respelled(kind: str, s: str, r: np.random.Generator) -> str:
     pick = lambda *xs: xs[int(r.integers(len(xs)))]
     if kind == "email":
         local, _, domain = s.partition("@")
-        return local + pick(" @ ", "(at)", " (at) ", "[at]", " [at] ") + domain.replace(".", pick(".", " . ", "(dot)", " (dot) ", "[dot]"))
+        at, dot = pick((" @ ", "."), (" @ ", " . "), ("(at)", "(dot)"), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), (" at ", " dot "), (" [AT] ", "."))
+        return local + at + domain.replace(".", dot)
+    d = _digits(s)
     if kind == "phone":
-        d = _digits(s)
-        return pick("", "+", "00") + pick(f"{d[:-10]}.{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}", f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", f"{d[-10:-7]}/{d[-7:-4]}/{d[-4:]}").lstrip(".")
+        last = f"{d[-10:-7]}", f"{d[-7:-4]}", f"{d[-4:]}"
+        return pick("", "", f"{d[:-10] or '1'}-", f"00{d[:-10] or '1'} ", f"{d[:-10] or '1'}.") + pick(".".join(last), f"({last[0]}) {last[1]}-{last[2]}", "-".join(last), "/".join(last), " ".join(last))
     if kind == "card":
-        d = _digits(s)
-        return pick(".", "/", "  ", "_").join(d[i : i + 4] for i in range(0, len(d), 4))
-    return s.replace(".", pick(" . ", "[.]", "(.)", "[dot]"))
+        return pick(".", "/", "  ", "_", " - ").join(d[i : i + 4] for i in range(0, len(d), 4))
+    return s.replace(".", pick(" . ", "[.]", "(.)", "[dot]", " dot "))
+
+
+def made(kind: str, r: np.random.Generator) -> str:
+    """A random span of a kind as the patterns know it."""
+    n = lambda k: "".join(map(str, r.integers(0, 10, k)))
+    word = lambda k: "".join(map(chr, r.integers(97, 123, k)))
+    if kind == "email":
+        local = word(int(r.integers(2, 10))) + ("", "." + word(5), "_" + word(3), n(2))[int(r.integers(4))]
+        return f"{local}@{word(int(r.integers(3, 10)))}.{('com', 'org', 'net', 'co.uk', 'de', 'io')[int(r.integers(6))]}"
+    if kind == "phone":
+        return f"+{int(r.integers(1, 99))} ({n(3)}) {n(3)}-{n(4)}"
+    if kind == "ip":
+        return ".".join(map(str, r.integers(0, 256, 4)))
+    digits = n(15)
+    return next(x for x in (digits + str(k) for k in range(10)) if luhn(x))
+
+
+def decoy(r: np.random.Generator) -> str:
+    """Something with digits or signs that is no personal data: a date, a time, a count, a version, a code."""
+    n = lambda low, high: int(r.integers(low, high))
+    code = "".join("0123456789abcdef"[n(0, 16)] for _ in range(n(8, 40)))
+    made = (
+        f"{n(1900, 2100)}-{n(1, 13):02d}-{n(1, 29):02d}", f"{n(1, 29):02d}.{n(1, 13):02d}.{n(1900, 2100)}", f"{n(1, 13)}/{n(1, 29)}/{n(1900, 2100)}", f"{n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}",
+        f"{n(1900, 2100)}-{n(1, 13):02d}-{n(1, 29):02d} {n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}", str(n(0, 10 ** n(1, 9))), f"{n(0, 10**6)}.{n(0, 100):02d}", f"{n(0, 20)}.{n(0, 30)}.{n(0, 99)}", code,
+        f"{n(1, 999)},{n(0, 1000):03d},{n(0, 1000):03d}", f"978-{n(0, 10)}-{n(100, 999)}-{n(10000, 99999)}-{n(0, 10)}", f"#{n(1, 10**5)}", f"{n(1900, 2100)}-{n(1900, 2100)}", f"at {n(1, 13)} dot", f"{n(1, 99)}%",
+    )
+    return made[n(0, len(made))]
 
 
 def valid(kind: str, s: str) -> bool:
-    """Whether a span the tagger proposes holds what its kind must hold."""
+    """Whether a span the tagger proposes has what its kind can't be without."""
     d = _digits(s)
-    if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9][0-9 ./_-]*[0-9]", s))
-    if kind == "phone":
-        return 9 <= len(d) <= 15 and bool(re.fullmatch(r"\+?[0-9(][0-9 ()./-]*[0-9]", s)) and len(re.findall(r"[0-9][ ()./-]+(?=[0-9])", s)) >= 2 and not re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)
+    if kind == "email":
+        at = AT_MARK.search(s, 1)
+        return bool(at and DOT_MARK.search(s, at.end()) and s[0].isalnum() and s[-1].isalnum())
     if kind == "ip":
-        parts = re.split(r"[^0-9]+", s)
-        return len(parts) == 4 and _ip_ok(".".join(parts) if all(parts) else "999") and bool(re.fullmatch(r"[0-9]+( ?[\[(]?(\.|dot)[\])]? ?[0-9]+){3}", s))
-    return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|\(at\)|\[at\]) ?[A-Za-z0-9-]+( ?(\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", s))
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and _ip_ok(".".join(parts))
+    if any(c.isalpha() for c in s):
+        return False
+    return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15 and len(re.findall(r"[0-9]+", s)) > 1
 
 
 def reconciled(text: str, starts: list[int], tags: np.ndarray) -> list[Span]:
@@ -309,44 +342,60 @@ def found(texts: list[str], tagger: Tagger | None) -> list[tuple[list[Span], lis
 
 
 def training_windows(docs: DataFrame, text_col: str = "text", most: int = TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of at most ``most`` windows around the labelled spans of a sample, and of as many other windows with triggers."""
-    small_batches(docs.sparkSession)
+    """Codes and tags to learn from: windows with labelled spans, copies of each with a span respelled and with a decoy
+    in its place, and windows without spans, as they are and with a random span or a decoy put in. Up to ``most`` windows of texts are taken, those of the least hashes, half
+    of them with spans if there are so many."""
+    half = most // 2
 
     def run(batches):
-        for b in batches:
-            out = []
+        best: dict[bool, dict[str, tuple[str, str]]] = {True: {}, False: {}}
+        for b in bounded(batches, 0):
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
-                for start in windows_of(text)[:8]:
-                    own = [s for s in spans if s[1] < start + WIDTH and s[2] > start]
-                    label = joined((k, a - start, e - start) for k, a, e in own)
-                    key = hashlib.sha256(text[start : start + WIDTH].encode("utf-8", "replace")).hexdigest()
-                    out.append((text[start : start + WIDTH], label, key))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], names=["text", "label", "key"])
-
-    cut = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(r"[0-9@]")).mapInArrow(run, "text string, label string, key string")
-    share = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") < F.lit(1 << 28)  # a sixteenth, by content
-    part = cut.filter(share).orderBy("key").limit(most).collect()
-    if len(part) < most // 4:
-        part = cut.orderBy("key").limit(most).collect()
+                for start in windows_of(text):
+                    part = text[start : start + WIDTH]
+                    own = [(k, a - start, e - start) for k, a, e in spans if a < start + WIDTH and e > start]
+                    best[bool(own)][hashlib.sha256(part.encode("utf-8", "replace")).hexdigest()] = (part, joined(own))
+            for k, own in best.items():
+                if len(own) > 2 * half:
+                    best[k] = {x: own[x] for x in sorted(own)[:half]}
+        for own in best.values():
+            first = sorted(own)[:half]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), *(pa.array([own[x][i] for x in first], pa.string()) for i in (0, 1))], names=["key", "text", "label"])
+
+    rows = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(f"(?i){TRIGGER.pattern}"))
+    cut = written(rows.mapInArrow(run, "key string, text string, label string"))  # at most ``most`` rows from a task
+    part = [row for test in ("label <> ''", "label = ''") for row in cut.filter(test).dropDuplicates(["key"]).orderBy("key").limit(half).collect()]
     r = np.random.default_rng(SEED)
     codes, tags = [], []
-    for row in part:
-        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row["label"].split(",") if x)]
-        codes.append(padded(row["text"], 0))
+
+    def add(text: str, spans: list[Span]) -> None:
+        codes.append(padded(text, 0))
         tags.append(tags_of(spans, 0))
-        whole = [s for s in spans if s[1] >= 0 and s[2] <= len(row["text"])]
-        for kind, a, b in whole[:1] * 2:
-            new = respelled(kind, row["text"][a:b], r)
-            cut_at = max(0, a - int(r.integers(0, 30)))
-            text = row["text"][cut_at:a] + new + row["text"][b:]
-            codes.append(padded(text, 0))
-            tags.append(tags_of([(kind, a - cut_at, a - cut_at + len(new))], 0))
+
+    def put(text: str, a: int, b: int, kind: str, span: str) -> None:
+        at = max(0, a - int(r.integers(0, 45)))
+        add(text[at:a] + span + text[b:], [(kind, a - at, a - at + len(span))])
+
+    for k, row in enumerate(part):
+        text = row["text"]
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in row["label"].split(",") if x)]
+        add(text, spans)
+        whole = [s for s in spans if s[1] >= 0 and s[2] <= len(text)]
+        for kind, a, b in whole[:1]:
+            put(text, a, b, kind, respelled(kind, text[a:b], r))
+            add(text[:a] + decoy(r) + text[b:], [s for s in spans if s[2] <= a])
+        gaps = [m.end() for m in re.finditer(r"\s", text)] if not spans else []
+        for kind in (KINDS[k % 4], KINDS[(k + 1) % 4]) if gaps else ():  # kinds that a corpus has few of are learned as well
+            a, span = gaps[int(r.integers(len(gaps)))], made(kind, r)
+            put(text, a, a, kind, (respelled(kind, span, r) if r.random() < 0.8 else span) + " ")
+            tags[-1][tags[-1].nonzero()[0][-1:]] = 0  # the space
+            add(text[:a] + decoy(r) + " " + text[a:], [])
     return (np.stack(codes), np.stack(tags)) if codes else (np.empty((0, WIDTH), np.int64), np.empty((0, WIDTH), np.int64))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Tagger | None:
-    """A trained tagger; None if no text holds a trigger."""
+    """A trained tagger; None if the patterns find nothing to learn from, which leaves their spans alone."""
     codes, tags = training_windows(docs, text_col)
     if not len(codes) or not tags.any():
         return None
@@ -366,11 +415,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     tagger = spark.sparkContext.broadcast(fit(docs, text_col))
-    small_batches(spark)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches, 1):
             got = found(b.column(1).to_pylist(), tagger.value)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got], pa.string())
