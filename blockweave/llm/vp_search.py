@@ -1,10 +1,13 @@
 """Nearest neighbours by vantage-point trees, a tree for each shard of the vectors.
 
-Vectors are dealt into shards of a bounded size by a hash of their ids; queries travel to every shard in packed
-blocks, a row for each block and shard. A task builds its shard's tree and takes a whole block of queries down it at
-once, the nearer side of each vantage point first; a side is left out where the triangle inequality says that it holds
-nothing as near as what has been found, times a factor of 1 or more. Factor 1 is exact search, ties included; a larger
-one prunes more. Each shard gives K rows for each query, and the best K of those are the answer.
+A bounded sample of the vectors are the shards' vantage points. Every vector belongs to the nearest one, and a shard's
+radius is the distance of its farthest member. A query first asks the shard of its own nearest vantage point; the
+distance of the k-th row found there bounds what it still looks for, and by the triangle inequality it goes on only to
+shards whose radius reaches into that bound, the bound being divided by a factor of 1 or more. Inside a shard a tree
+prunes likewise. Factor 1 is exact search, ties included; a larger one prunes more.
+
+A shard with more vectors than a task should hold (equal vectors have one nearest vantage point) is split, and its
+queries go to all of its parts; queries of one shard are dealt in parts as well, so no task holds an unbounded number.
 """
 
 from __future__ import annotations
@@ -16,80 +19,102 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Neighbours of a query; the pruning factor; vectors in a shard, about; queries in a block; vectors in a leaf.
-K, FACTOR, SHARD, BLOCK, LEAF = 10, 1.0, 16_384, 1_024, 256
+#: Neighbours of a query; the pruning factor; vectors in a shard, about, and in a part of one, at most about; queries in a task; vectors in a leaf.
+K, FACTOR, SHARD, PART, QUERIES, LEAF = 10, 1.0, 8_192, 32_768, 16_384, 128
+#: Vantage points of the shards, at most.
+POINTS = 4_096
 #: Query ids are divisible by this.
 EVERY = 100
+#: What a bound allows for rounding.
+SLACK = 1e-9
+#: Distances computed at once.
+AT_ONCE = 1 << 20
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of each row of ``a`` to each row of ``b``; equal vectors give equal distances wherever they stand."""
+    """Euclidean distances of each row of ``a`` to each row of ``b``; components are added in their order, so equal pairs give equal distances wherever they stand."""
     out = np.empty((len(a), len(b)))
-    for i in range(len(a)):
-        d = b - a[i]
-        out[i] = np.sqrt(np.einsum("ij,ij->i", d, d))
+    columns = np.ascontiguousarray(b.T)
+    step = max(1, AT_ONCE // max(1, len(b)))
+    for at in range(0, len(a), step):
+        own = a[at : at + step]
+        total = np.zeros((len(own), len(b)))
+        for j in range(a.shape[1]):
+            gap = own[:, j, None] - columns[j]
+            total += gap * gap
+        out[at : at + step] = np.sqrt(total)
     return out
 
 
 class Tree:
-    """A vantage-point tree over ascending ids and their vectors, double precision."""
+    """A vantage-point tree over ascending ids and their vectors, double precision. Nodes are grown and visited from a stack."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         self.ids, self.v = ids, vectors
-        self.root = self._grow(np.arange(len(ids)), leaf, 0)
-
-    def _grow(self, own: np.ndarray, leaf: int, depth: int):
-        if len(own) <= leaf:
-            return own
-        at = own[(depth * 2_654_435_761) % len(own)]
-        d = distances(self.v[at : at + 1], self.v[own])[0]
-        radius = float(np.median(d))
-        inside = d <= radius
-        if inside.all():  # many equal vectors: nothing to tell apart
-            inside = d < radius
-            if not inside.any():
-                return own
-        inner, outer = own[inside], own[~inside]
-        bounds = (float(d[inside].max()), float(d[~inside].min()))
-        return int(at), bounds, self._grow(inner, leaf, depth + 1), self._grow(outer, leaf, depth + 1)
-
-    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int = K, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and distances of the k nearest of each query but itself, by (distance, id); missing ones have distance inf."""
-        self.best_d = np.full((len(queries), k), np.inf)
-        self.best_i = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.q_ids, self.q, self.k, self.factor = q_ids, queries, k, factor
-        self._visit(self.root, np.arange(len(queries)), np.zeros(len(queries)))
-        at = np.searchsorted(self.ids, self.best_i.ravel()).reshape(self.best_i.shape)
-        found = np.isfinite(self.best_d)
-        gap = self.v[at[found]] - queries[np.nonzero(found)[0]]
-        self.best_d[found] = np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])  # components are added in their order
-        return self.best_i, self.best_d
-
-    def _visit(self, node, rows: np.ndarray, least: np.ndarray) -> None:
-        """Take queries ``rows``, each at ``least`` from the node by the triangle inequality, through a node."""
-        reach = least * self.factor * (1 - 1e-12) <= self.best_d[rows, -1]
-        rows, least = rows[reach], least[reach]
-        if not len(rows):
-            return
-        if isinstance(node, np.ndarray):
-            d = distances(self.q[rows], self.v[node])
-            ids = np.broadcast_to(self.ids[node], d.shape)
-            d = np.where(ids == self.q_ids[rows, None], np.inf, d)
-            ids = np.where(np.isinf(d), np.iinfo(np.int64).max, ids)
-            all_d, all_i = np.concatenate([self.best_d[rows], d], 1), np.concatenate([self.best_i[rows], ids], 1)
-            order = np.lexsort((all_i, all_d), axis=1)[:, : self.k]
-            self.best_d[rows], self.best_i[rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-            return
-        at, (inner_most, outer_least), inner, outer = node
-        d = distances(self.v[at : at + 1], self.q[rows])[0]
-        to_inner, to_outer = np.maximum(least, d - inner_most), np.maximum(least, outer_least - d)
-        near_in = to_inner <= to_outer
-        for side in (near_in, ~near_in):
-            first, second = (inner, outer) if side is near_in else (outer, inner)
-            a, b = (to_inner, to_outer) if side is near_in else (to_outer, to_inner)
-            if side.any():
-                self._visit(first, rows[side], a[side])
-                self._visit(second, rows[side], b[side])
+        self.nodes: list = []  # a leaf's rows, or (vantage row, farthest inside, nearest outside, inner node, outer node)
+        waiting = [(np.arange(len(ids)), 0, None)]
+        while waiting:
+            own, depth, above = waiting.pop()
+            at = len(self.nodes)
+            if above is not None:
+                self.nodes[above[0]][above[1]] = at
+            split = None if len(own) <= leaf else self._split(own, depth)
+            if split is None:
+                self.nodes.append(own)
+                continue
+            row, d, inside = split
+            self.nodes.append([row, float(d[inside].max()), float(d[~inside].min()), None, None])
+            waiting += [(own[inside], depth + 1, (at, 3)), (own[~inside], depth + 1, (at, 4))]
+
+    def _split(self, own: np.ndarray, depth: int):
+        """A vantage row, its distances and which rows are inside; None if no tried row tells them apart in useful parts."""
+        for k in range(4):
+            row = own[(depth * 2_654_435_761 + k * 40_503) % len(own)]
+            d = distances(self.v[row : row + 1], self.v[own])[0]
+            radius = float(np.median(d))
+            for inside in (d <= radius, d < radius):
+                if min(n := int(inside.sum()), len(own) - n) * 16 >= len(own):
+                    return int(row), d, inside
+        return None  # equal or equidistant vectors: a leaf, however large
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int = K, factor: float = FACTOR, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and distances of the k nearest of each query but itself, by (distance, id), as far as they lie within
+        each query's ``bound``; missing ones have distance inf."""
+        best_d, best_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+        bound = np.full(len(queries), np.inf) if bound is None else bound
+        stack = [(0, np.arange(len(queries)), np.zeros(len(queries)))] if len(queries) else []
+        while stack:
+            at, rows, least = stack.pop()
+            reach = least * factor <= np.minimum(best_d[rows, -1], bound[rows]) * (1 + SLACK)
+            rows, least = rows[reach], least[reach]
+            if not len(rows):
+                continue
+            node = self.nodes[at]
+            if isinstance(node, np.ndarray):
+                step = max(1, AT_ONCE // len(node))
+                for low in range(0, len(rows), step):
+                    self._leaf(node, rows[low : low + step], q_ids, queries, best_d, best_i)
+                continue
+            row, inner_most, outer_least, inner, outer = node
+            d = distances(queries[rows], self.v[row : row + 1])[:, 0]
+            to_inner, to_outer = np.maximum(least, d - inner_most), np.maximum(least, outer_least - d)
+            near = to_inner <= to_outer
+            # The stack is taken from its end: the nearer side of each query first.
+            for side, first, a, second, b in ((near, inner, to_inner, outer, to_outer), (~near, outer, to_outer, inner, to_inner)):
+                if side.any():
+                    stack += [(second, rows[side], b[side]), (first, rows[side], a[side])]
+        return best_i, best_d
+
+    def _leaf(self, node: np.ndarray, rows: np.ndarray, q_ids, queries, best_d, best_i) -> None:
+        """Hold queries against a leaf's vectors."""
+        k = best_d.shape[1]
+        d = distances(queries[rows], self.v[node])
+        ids = np.broadcast_to(self.ids[node], d.shape)
+        own = ids == q_ids[rows, None]
+        d, ids = np.where(own, np.inf, d), np.where(own, np.iinfo(np.int64).max, ids)
+        d, ids = np.concatenate([best_d[rows], d], 1), np.concatenate([best_i[rows], ids], 1)
+        order = np.lexsort((ids, d), axis=1)[:, :k]
+        best_d[rows], best_i[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -104,47 +129,86 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, factor: float = FACTOR, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def _nearest(points: dict[int, np.ndarray]):
+    """An Arrow function: rows (vec_id, v, dim) with shard, the nearest of the points of their length, and gap, its distance."""
+
+    def run(batches):
+        for pdf in batches:
+            for dim, own in pdf.groupby("dim"):
+                p, shard, gap = points[int(dim)], [], []
+                for low in range(0, len(own), 1024):
+                    d = distances(np.stack(own["v"].to_numpy()[low : low + 1024]).astype(np.float64), p)
+                    shard.append(d.argmin(1))
+                    gap.append(d.min(1))
+                yield own.assign(shard=np.concatenate(shard), gap=np.concatenate(gap))
+
+    return run
+
+
+def _asked(data: DataFrame, asked: DataFrame, sizes: DataFrame, k: int, factor: float, queries: int) -> DataFrame:
+    """query_id, vec_id, score: the k best rows of each part of a shard for each query (query_id, q, bound, dim, shard) sent to it."""
+    n = asked.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / queries).cast("int").alias("lots"))
+    share = F.broadcast(sizes.join(n, ["dim", "shard"]).select("dim", "shard", "parts", "lots"))  # a row for each shard
+    mine = data.join(share, ["dim", "shard"]).select("dim", "shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "vec_id", "v")
+    theirs = asked.join(share, ["dim", "shard"]).select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "q", "bound")
+
+    def local(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        mine = mine.sort_values("vec_id")
+        tree = Tree(mine["vec_id"].to_numpy(), np.stack(mine["v"].to_numpy()).astype(np.float64))
+        ids = theirs["query_id"].to_numpy()
+        i, d = tree.search(ids, np.stack(theirs["q"].to_numpy()).astype(np.float64), k, factor, theirs["bound"].to_numpy(np.float64))
+        found = np.isfinite(d)
+        return pd.DataFrame({"query_id": np.repeat(ids, found.sum(1)), "vec_id": i[found], "score": d[found]})
+
+    mine, theirs = mine.toDF("d", "s", "p", "l", "vec_id", "v"), theirs.toDF("dim", "shard", "part", "lot", "query_id", "q", "bound")
+    return mine.groupBy("d", "s", "p", "l").cogroup(theirs.groupBy("dim", "shard", "part", "lot")).applyInPandas(local, "query_id long, vec_id long, score double")
+
+
+def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, factor: float = FACTOR, shard: int = SHARD, part: int = PART, queries: int = QUERIES) -> DataFrame:
     """For each query (a row whose id is divisible by ``every``): query_id, rank, vec_id, score of its k nearest rows.
 
     - A row without an id, or whose vector is null, zero or holds null, NaN or infinite components, takes no part.
     - Only vectors of equal length are near each other. A query with fewer than k candidates gets all of them.
-    - Candidates are the rows with another id than the query's; rows repeated with their id are one row. Ties go to
-      the smaller id. An empty table gives no rows. Other columns are not read.
+    - Candidates are the rows with another id than the query's; of rows that repeat an id, with whatever vectors, one is
+      used. Ties go to the smaller id. An empty table gives no rows. Other columns are not read.
     """
     good = written(usable(rows, id_col, vector_col).dropDuplicates(["vec_id"]))
-    shards = max(1, -(-good.count() // shard))
-    data = good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    queries = good.filter(F.col("vec_id") % every == 0)
-    blocks = -(-queries.count() // block)
-    if not blocks:
-        return good.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)))
-    asked = dealt.groupBy("dim", "block").applyInPandas(_pack, "dim int, block long, ids binary, vectors binary")
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-
-    def local(key, mine: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(blocks):
-            mine = mine.sort_values("vec_id")
-            tree = Tree(mine["vec_id"].to_numpy(), np.stack(mine["v"].to_numpy()).astype(np.float64))
-            for ids, vectors in zip(blocks["ids"], blocks["vectors"], strict=True):
-                q_ids = np.frombuffer(ids, "<i8")
-                i, d = tree.search(q_ids, np.frombuffer(vectors, "<f8").reshape(len(q_ids), -1), k, factor)
-                found = np.isfinite(d)
-                out.append(pd.DataFrame({"query_id": np.repeat(q_ids, found.sum(1)), "vec_id": i[found], "score": d[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = data.groupBy("dim", "shard").cogroup(sent.groupBy("dim", "shard")).applyInPandas(local, "query_id long, vec_id long, score double")
+    points: dict[int, np.ndarray] = {}
+    for dim, n in sorted((r["dim"], r["n"]) for r in good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
+        most = min(POINTS, -(-n // shard))
+        chosen = good.filter(F.col("dim") == dim).orderBy(F.xxhash64(F.lit("point"), "vec_id"), "vec_id").limit(most).collect()
+        points[dim] = np.unique(np.array([r["v"] for r in chosen], np.float64), axis=0)
+    if not points:
+        return good.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    data = written(good.mapInPandas(_nearest(points), "vec_id long, v array<double>, dim int, shard long, gap double"))
+    sizes = written(data.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"), F.max("gap").alias("radius")))
+    own = data.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("inf")).alias("bound"), "dim", "shard")
+    near = written(_asked(data, own, sizes, k, factor, queries))
+    kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score")).alias("s")).select("query_id", F.when(F.size("s") >= k, F.element_at("s", k)).otherwise(float("inf")).alias("kth"))
+    radius = {(r["dim"], r["shard"]): r["radius"] for r in sizes.collect()}  # at most POINTS rows for each length of vectors
+
+    def beyond(batches):
+        """The other shards that each query must ask, with its bound."""
+        for pdf in batches:
+            for dim, group in pdf.groupby("dim"):
+                p = points[int(dim)]
+                r = np.array([radius.get((int(dim), x), -np.inf) for x in range(len(p))])
+                for low in range(0, len(group), 1024):
+                    some = group.iloc[low : low + 1024]
+                    gap = distances(np.stack(some["q"].to_numpy()).astype(np.float64), p) - r
+                    bound = some["kth"].fillna(np.inf).to_numpy()
+                    reach = (gap * factor <= bound[:, None] * (1 + SLACK) + SLACK) & (np.arange(len(p)) != some["shard"].to_numpy()[:, None])
+                    at, to = np.nonzero(reach)
+                    yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "q": some["q"].to_numpy()[at], "bound": bound[at], "dim": int(dim), "shard": to})
+
+    more = written(own.drop("bound").join(kth, "query_id", "left").mapInPandas(beyond, "query_id long, q array<double>, bound double, dim int, shard long"))
+    found = near if more.isEmpty() else near.union(_asked(data, more, sizes, k, factor, queries))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block of queries as one row."""
-    return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vectors": [np.stack(pdf["v"].to_numpy()).astype("<f8").tobytes()]})
-
-
 def op5_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest rows of ``embeddings`` for every hundredth one."""
     return search(table(spark, sf_dir, "embeddings"))
