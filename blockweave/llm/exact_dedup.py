@@ -1,9 +1,9 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes inside groups, keep one row of each group.
 
-Everything here is DataFrame expressions. The first aggregation groups by (hash, whole normalised text), so
-texts that share a hash without being equal never meet, and copies collapse on the map side before the shuffle:
-a group that holds a third of all rows arrives as one row from each task. The verdicts travel without text and
-go back to the rows by an equi-join that adaptive execution may split where one group is hot.
+Everything here is DataFrame expressions. Rows travel as hashes. Only texts whose hash another row has too are read
+again and grouped by their bytes, so texts that share a hash without being equal never meet; copies collapse on the map
+side before that shuffle, and a group that holds a third of all rows arrives as one row from each task. The verdicts
+travel without text and go back to the rows by an equi-join that adaptive execution may split where one group is hot.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table, written
+from .common import lower_ascii, sized, sortable, table, without, written
 
 
 def content_hash(text: Column) -> Column:
@@ -31,18 +31,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``hash_of`` may be any function of the text: groups stay right however often it collides.
     """
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm"))
-    groups = (
-        rows.groupBy(hash_of(F.col("norm")).alias("h"), "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    # Each row of groups is one text, told apart by its bytes. The way back from a row to its text's group goes by
-    # the hash and, among texts that collide in it, by SHA-256.
-    seen = rows.select("doc_id", hash_of(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    return seen.join(written(groups), ["h", "sha"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("h", hash_of(F.col("norm")))
+    sha = F.unhex(F.sha2("norm", 256)).alias("sha")
+    seen = written(rows.select("doc_id", "h", sha))
+    met = sized(written(seen.groupBy("h").count().filter("count > 1").select("h")))
+    groups = rows.join(met, "h", "left_semi").groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # A row finds its text's group by the hash and, among texts that collide in it, by SHA-256. Without one it is alone.
+    groups = sized(written(groups.filter("group_size > 1").select("h", sha, "keep_id", "group_size")))
+    alone = F.col("group_size").isNull()
+    judged = seen.join(groups, ["h", "sha"], "left").withColumn("keep_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")))
+    return judged.select(
+        "doc_id", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+    )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,11 +51,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat one id and text, one stays. A row without an id stays only if no row of its group has one.
     """
-    key = lambda c: F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.select(key(F.col(id_col)).alias("_id"), sha.alias("_sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).dropDuplicates(["_id", "_sha"])
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(key(F.col("doc_id")).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    return rows.join(kept, ["_id", "_sha"], "left_semi").select("_row.*")
+    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256).alias("sha")
+    judged = exact_dedup(docs, id_col, text_col)
+    keys = written(judged.select(*sortable(judged, "doc_id"), F.col("text_sha256").alias("sha"), "kept"))
+    gone = keys.filter("NOT kept").drop("kept").distinct()
+    again = keys.filter("kept").groupBy("no_id", "doc", "sha").count().filter("count > 1").drop("count")
+    return without(docs, [*sortable(docs, id_col), sha], gone, again)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
