@@ -1,5 +1,7 @@
 """Language ID, toxicity, personal data, search and mixing: brute force and held-out accuracy."""
 
+import hashlib
+import itertools
 import math
 import random
 import re
@@ -27,6 +29,45 @@ def test_language_id_on_held_out_rows(spark):
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
 
 
+def brute_language(rows):
+    """Word-first backoff from its definition, in plain dicts: id to (language, score)."""
+    find = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    train = [(t, x) for i, t, x in rows if x is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs, counts = sorted({x for _, x in train}), {}
+    pieces = lambda w, n: [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)] if n else [w]
+    for t, x in train:
+        for w in find(t):
+            for n in range(6):
+                for g in pieces(w, n):
+                    counts.setdefault((n, g), dict.fromkeys(langs, 0))[x] += 1
+    kinds = {n: [c for (k, _), c in counts.items() if k == n] for n in range(6)}
+    totals = {(n, x): sum(c[x] for c in own) + 0.5 * len(own) for n, own in kinds.items() for x in langs}
+    score = lambda n, g, x: math.log((counts[n, g][x] + 0.5) / totals[n, x])
+    out = {}
+    for i, t, _ in rows:
+        words, total = find(t), dict.fromkeys(langs, 0.0)
+        for w in words:
+            for n in (0, 5, 4, 3, 2, 1):
+                if known := [g for g in pieces(w, n) if (n, g) in counts]:
+                    for x in langs:
+                        total[x] += sum(score(n, g, x) for g in known) / len(known)
+                    break
+        if not words:
+            out[i] = ("und", 0.0)
+            continue
+        top, part = max(total.values()), min(1.0, 20 / len(words))
+        out[i] = (min(x for x in langs if total[x] == top), 1 / sum(math.exp((v - top) * part) for v in total.values()))
+    return out
+
+
+def test_language_id_against_brute_force(spark, rows):
+    want = brute_language([(i, t, x) for i, t, x, _ in rows])
+    d = spark.createDataFrame([(i, t, x) for i, t, x, _ in rows], "doc_id long, text string, lang string")
+    for r in lang_id.language_id(d).collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-3, abs_tol=1e-6)
+
+
 def test_language_id_learns_nothing(docs, empty):
     assert lang_id.language_id(empty).count() == 0
     blank = docs.withColumn("lang", docs["lang"].substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang")
@@ -49,20 +90,52 @@ def test_backoff_goes_to_shorter_grams():
     assert p.predict("xxyx")[0] == "a" and p.predict("yyy")[0] == "b" and p.predict("1 2")[0] == "und"
 
 
+def brute_decode(token, model, spaced):
+    """The cost of the likeliest reading, over all paths of the lattice."""
+    best = math.inf
+    places = toxicity.lattice(token, spaced)
+    for path in itertools.product(*places):
+        text = "".join(x for x, _ in path)
+        classes = [0, 0, 0, *map(toxicity.class_of, text), 0]
+        if text:
+            best = min(best, sum(c for _, c in path) + cost_of(classes, model))
+    return best
+
+
+def cost_of(classes, model):
+    at = lambda k: ((classes[k - 3] * 28 + classes[k - 2]) * 28 + classes[k - 1]) * 28 + classes[k]
+    return sum(model.cost[at(k)] for k in range(3, len(classes)))
+
+
+def character_model(spark, text):
+    c = toxicity.char_counts(spark.createDataFrame([(text,)], "text string")).toPandas()
+    return toxicity.CharModel(c["code"].to_numpy(np.int64), c["n"].to_numpy(float))
+
+
+def test_decoding_is_exact(spark):
+    model, r = character_model(spark, "take out the trash and the other trash of this house again " * 5), random.Random(6)
+    for k in range(300):
+        spaced = k % 2 == 0
+        token = (" " if spaced else "").join(r.choices("tr4sh1@$h0u5e+", k=r.randrange(1, 8)))
+        got = toxicity.decode(token, model, spaced)
+        want = brute_decode(token, model, spaced)
+        if math.isinf(want):
+            assert got == ""
+            continue
+        costs = [sum(c for _, c in p) + cost_of([0, 0, 0, *map(toxicity.class_of, got), 0], model) for p in itertools.product(*toxicity.lattice(token, spaced)) if "".join(x for x, _ in p) == got]
+        assert math.isclose(min(costs), want, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("disguise", ["tr4sh", "t r a s h", "traaaash", "t.r.a.s.h", "+r@sh", "TRA$H"])
 def test_restores_disguised_words(spark, disguise):
-    d = spark.createDataFrame([("take out the trash and the other trash of this house " * 5,)], "text string")
-    c = toxicity.char_counts(d).toPandas()
-    model = toxicity.CharModel(c["code"].to_numpy(np.int64), c["n"].to_numpy(float))
+    model = character_model(spark, "take out the trash and the other trash of this house " * 5)
     assert "trash" in toxicity.Restorer(model).words(f"so {disguise} it is")
     assert "trash" in toxicity.restore(f"so {disguise} it is", toxicity.Restorer(model))
 
 
 @pytest.mark.parametrize("disguise", ["tra" + "a" * 60 + "sh", "house.and/the-other_take,out.the/house-and_trash", "+@$#", "tr4sh/" * 9, "的" * 30 + "，trash。" + "的" * 30, "the/trash"])
 def test_restores_long_chained_and_letterless_tokens(spark, disguise):
-    d = spark.createDataFrame([("take out the trash and the other trash of this house tas " * 5,)], "text string")
-    c = toxicity.char_counts(d).toPandas()
-    model = toxicity.CharModel(c["code"].to_numpy(np.int64), c["n"].to_numpy(float))
+    model = character_model(spark, "take out the trash and the other trash of this house tas " * 5)
     want = "tas" if disguise == "+@$#" else "trash"
     assert want in toxicity.Restorer(model).words(f"so {disguise} it is")
 
@@ -100,7 +173,7 @@ def test_base_spans_against_the_patterns():
 
 
 def test_gradients_of_the_tagger():
-    t = pii.Tagger()
+    t = pii.Tagger(dtype=np.float64)
     r = np.random.default_rng(0)
     x, y = r.integers(1, 90, (3, 10)), r.integers(0, pii.TAGS, (3, 10))
     _, g = t.gradients(x, y)
@@ -129,9 +202,33 @@ def test_personal_data(spark):
 
 
 def test_tagger_finds_other_spellings(spark):
-    tagger = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    tagger = pii.fit(docs)
     text = "please write to john.doe (at) example (dot) com and wait"
     assert [text[a:b] for _, a, b in pii.found([text], tagger)[0][1]] == ["john.doe (at) example (dot) com"]
+    # Spans that it hasn't seen, respelled and planted in texts; and texts as they are, where it may add next to nothing.
+    texts, r = [x["text"] for x in docs.orderBy("doc_id").limit(800).collect()], np.random.default_rng(99)
+    hits = added = planted = 0
+    for k, own in enumerate(texts[:400]):
+        kind = pii.KINDS[k % 4]
+        span, words = pii.respelled(kind, pii.made(kind, r), r), own.split(" ")[:60]
+        at = int(r.integers(0, len(words) + 1))
+        before = "".join(f"{w} " for w in words[:at])
+        ((base, spans),) = pii.found([f"{before}{span} {' '.join(words[at:])}"], tagger)
+        if (want := (kind, len(before), len(before) + len(span))) not in base:
+            planted, hits, added = planted + 1, hits + (want in spans), added + len(set(spans) - set(base))
+    assert hits >= 0.9 * planted and hits >= 0.9 * added and planted > 300
+    assert sum(len(spans) - len(base) for base, spans in pii.found(texts, tagger)) <= 8
+
+
+def test_personal_data_columns_against_the_patterns(spark):
+    r = random.Random(7)
+    texts = [None, "", *("".join(r.choices(["a", "1", ".", "@", "-", "+", " ", "2", "(", "555-1234 ", "9.8.7.6 ", "a@b.cd ", "+1 (555) 123-4567 ", "4111 1111 1111 1111 "], k=r.randrange(30))) for _ in range(200))]
+    got = {x["doc_id"]: x for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = brute_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
 
 
 def test_personal_data_of_nothing(empty):
@@ -143,7 +240,7 @@ def vectors(spark, n=400, dim=5, seed=0):
     v = r.integers(-3, 4, (n, dim)).astype(float).tolist()
     rows = [(i, x) for i, x in enumerate(v)]
     rows += [(n, None), (n + 1, [0.0] * dim), (n + 2, [float("nan"), *[1.0] * (dim - 1)]), (n + 3, [None, *[1.0] * (dim - 1)]), (500, [1.0, 2.0]), (600, [1.0, 3.0]), (None, [1.0] * dim), (7, v[7])]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, shard string" if False else "vec_id long, embedding array<double>")
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
 
 def brute_search(rows, k):
@@ -155,13 +252,31 @@ def brute_search(rows, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block"), [(16_384, 1024), (50, 2)])
-def test_search(spark, shard, block):
+@pytest.mark.parametrize(("shard", "part", "queries"), [(16_384, 16_384, 1024), (50, 20, 2), (3, 400, 400)])
+def test_search(spark, shard, part, queries):
     df = vectors(spark)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vp_search.search(df, shard=shard, block=block).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vp_search.search(df, shard=shard, part=part, queries=queries).collect())
     assert got == brute_search([tuple(r) for r in df.collect()], 10)
 
 
+def test_search_among_equidistant_and_equal_vectors(spark):
+    eye = np.eye(300)
+    for v in (eye, np.ones((300, 4)), np.vstack([np.tile([1.0, 2.0], (250, 1)), np.random.default_rng(2).normal(size=(50, 2))])):
+        rows = [(i, x) for i, x in enumerate(v.tolist())]
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in vp_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=40, part=30).collect())
+        assert got == brute_search(rows, 10)
+    big = np.eye(1600)
+    assert vp_search.Tree(np.arange(1600), big, 8).search(np.array([5]), big[5:6], 3)[0].tolist() == [[0, 1, 2]]
+
+
+def test_recall_of_relaxed_search(spark):
+    r = np.random.default_rng(4)
+    v = (r.normal(size=(20, 6))[r.integers(0, 20, 3000)] * 4 + r.normal(size=(3000, 6))).tolist()
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    exact, near = ({(x["query_id"], x["vec_id"]) for x in vp_search.search(df, factor=f, shard=100).collect()} for f in (1.0, 1.2))
+    assert len(exact) == 300 and len(exact & near) >= 0.9 * len(exact)
+
+
 def test_relaxed_pruning_keeps_recall():
     r = np.random.default_rng(1)
     v = r.normal(size=(3000, 8))

@@ -5,9 +5,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from blockweave.llm import packing, token_counts
+from test_dedup import near_groups
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "a<|endoftext|>b  <|endoftext|>", "  \n\n x　y's 'S don't WE'RE", "\U0001f600 é́ a\x1cb\x85c", "日本語 テスト ΑΣ ΣΑΣ ß ẞ İx ﬁ", "12a3 naïve’s <|startoftext|>x", "x" * 3000]
@@ -94,12 +96,18 @@ def test_pipeline_against_its_stages(spark, tmp_path, rows):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept[name] = sorted(r["doc_id"] for r in docs.collect())
     said = corpus_pipeline.lang_id.language_id(spark.read.parquet(f"{sf}/documents.parquet")).collect()
-    assert kept["language_id"] == sorted(r["doc_id"] for r in said if r["lang_pred"] != "und" and r["score"] >= 0.5)
+    assert kept["language_id"] == sorted(r["doc_id"] for r in said if r["lang_pred"] != "und")
     assert len(kept["language_id"]) > 0.9 * sum(any(map(str.isalpha, t)) for t in texts.values())
     last = {}
     for i in kept["language_id"]:
         last["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[i])] = i
     assert kept["exact_dedup"] == sorted(last.values())
-    assert set(kept["simhash_near_dedup"]) <= set(kept["exact_dedup"]) and set(kept["mixing"]) <= set(kept["simhash_near_dedup"])
+    own = [(i, texts[i]) for i in kept["exact_dedup"]]
+    assert kept["simhash_near_dedup"] == sorted({own[k][0] for k in near_groups(own).values()})
+    near = set(kept["simhash_near_dedup"])
+    first = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id").isin(*near))
+    copies = {r["doc_id"]: r["copies"] for r in corpus_pipeline.mixing.mix(first).collect()}
+    assert kept["mixing"] == sorted(i for i, n in copies.items() for _ in range(n)) and set(copies) == near
     got = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r["doc_id"] for r in got if r["start"] == 0) == kept["mixing"]
+    assert sum(r["length"] for r in got) == sum(len(Tokenizer.from_file(WORDS).encode(texts[i], add_special_tokens=False).ids) + 1 for i in kept["mixing"])
