@@ -33,7 +33,7 @@ def format_bytes(n: Column) -> Column:
 def format_bytes_short(n: Column) -> Column:
     """As ``format_bytes`` with TB, and without trailing zeros."""
     trim = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    scaled = lambda k, unit: F.concat(trim(F.format_string("%.2f", n.cast("double") / float(1024**k))), F.lit(f" {unit}"))
+    scaled = lambda k, unit: F.concat(trim(F.format_string("%.2f", F.bround(n.cast("double") / float(1024**k), 2))), F.lit(f" {unit}"))
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
         out = out.when(n < 1024 ** (k + 1), scaled(k, unit))
@@ -71,6 +71,21 @@ def restored_name(path: Column) -> Column:
     return F.when(base.endswith(".ctx"), F.regexp_replace(base, r"\.ctx$", "")).otherwise(F.concat(base, F.lit(".out")))
 
 
+def restored_folder(path: Column) -> Column:
+    """The default name of the folder that an archive's members go to."""
+    return F.concat(F.regexp_replace(volume_base(path), r"\.ctx$", ""), F.lit("_restored"))
+
+
+def is_flag(argument: Column) -> Column:
+    """Whether a command's argument is an option and no path."""
+    return argument.startswith("-")
+
+
+def can_extract(selected: Column, is_dir: Column, name: Column) -> Column:
+    """Whether an item may be extracted: selected, no folder, and an archive or a volume of one."""
+    return selected & ~is_dir & (name.endswith(".ctx") | name.rlike(r"\.ctx\.[0-9]{3}$"))
+
+
 def item_type(name: Column, is_dir: Column) -> Column:
     """Folder, Archive or File."""
     return F.when(is_dir, "Folder").when(name.endswith(".ctx"), "Archive").otherwise("File")
@@ -99,9 +114,9 @@ def le_bytes(n: Column, width: int) -> Column:
 
 
 def le_number(data: Column, at: int, width: int) -> Column:
-    """The little-endian number of ``width`` bytes (7 at most) at an offset."""
+    """The little-endian number of ``width`` bytes (8 at most) at an offset; null from 2 to the 63rd on."""
     h = F.hex(F.substring(data, at + 1, width))
-    return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(width))]), 16, 10).cast("long")
+    return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in reversed(range(width))]), 16, 10).try_cast("long")
 
 
 def be_bytes(n: Column, width: int = 8) -> Column:

@@ -36,15 +36,25 @@ def block_nonce(nonce: Column, block_idx: Column) -> Column:
     return F.concat(F.substring(nonce, 1, 4), be_bytes(block_idx))
 
 
-def encrypt_blocks(encoded: DataFrame, key: bytes, nonce: bytes) -> DataFrame:
-    """``encoded`` with payload encrypted; ciphertext is followed by its tag, and the nonce isn't stored."""
+def _archive_key(per_archive: bool) -> Column:
+    """The key of a row's archive: the given one, or one of its own that hangs on key, nonce and archive id."""
+    own = F.unhex(F.sha2(F.concat("_key", "_nonce", F.encode(F.coalesce(F.col("archive_id").cast("string"), F.lit("")), "UTF-8")), 256))
+    return own if per_archive else F.col("_key")
+
+
+def encrypt_blocks(encoded: DataFrame, key: bytes, nonce: bytes, per_archive: bool = True) -> DataFrame:
+    """``encoded`` with payload encrypted; ciphertext is followed by its tag, and the nonce isn't stored.
+
+    Blocks of a number have one nonce in every archive, so each archive gets a key of its own. ``per_archive`` may be
+    false only for a single archive whose salt and nonce are fresh, as an archive file has them.
+    """
     joined = encoded.withColumn("_k", F.lit(0)).join(_key_table(encoded.sparkSession, key, nonce), "_k")
-    sealed = F.aes_encrypt("payload", "_key", F.lit("GCM"), F.lit("DEFAULT"), block_nonce(F.col("_nonce"), F.col("block_idx")))
+    sealed = F.aes_encrypt("payload", _archive_key(per_archive), F.lit("GCM"), F.lit("DEFAULT"), block_nonce(F.col("_nonce"), F.col("block_idx")))
     return joined.withColumn("payload", F.substring(sealed, NONCE + 1, 1 << 30)).select(*encoded.columns)
 
 
-def decrypt_blocks(encrypted: DataFrame, key: bytes, nonce: bytes) -> DataFrame:
+def decrypt_blocks(encrypted: DataFrame, key: bytes, nonce: bytes, per_archive: bool = True) -> DataFrame:
     """``encrypted`` with payload decrypted, or null where the key is wrong or the block is damaged."""
     joined = encrypted.withColumn("_k", F.lit(0)).join(_key_table(encrypted.sparkSession, key, nonce), "_k")
-    opened = F.try_aes_decrypt(F.concat(block_nonce(F.col("_nonce"), F.col("block_idx")), F.col("payload")), "_key", F.lit("GCM"))
+    opened = F.try_aes_decrypt(F.concat(block_nonce(F.col("_nonce"), F.col("block_idx")), F.col("payload")), _archive_key(per_archive), F.lit("GCM"))
     return joined.withColumn("payload", opened).select(*encrypted.columns)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import time
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.codec import MAGIC
 from ..operators.crypto import decrypt_blocks, derive_key
+from .shared import staged
 
 
 class Range(InputPartition):
@@ -60,41 +64,75 @@ def read_blocks(spark: SparkSession, path: str, block_size: int = 16 << 20) -> D
     return spark.read.format("blocks").option("path", path).option("blockSize", str(block_size)).load()
 
 
+def _manifest(base: Path) -> Path:
+    return base.with_name(f"{base.name}.volumes")
+
+
+def _parts(first: Path) -> list[Path]:
+    """The parts that an archive says it has, or, without a list of them, those that follow one another."""
+    if _manifest(first).exists():
+        return [first.with_name(x["name"]) for x in json.loads(_manifest(first).read_text())]
+    out = [first]
+    while (p := first.with_name(f"{first.name}.{len(out):03d}")).exists():
+        out.append(p)
+    return out
+
+
 def volume_paths(base: str) -> list[Path]:
     """The parts of a volume set in order; a missing one is an error. Any part's name may be given."""
-    first = Path(re.sub(r"\.[0-9]{3,}$", "", base))
-    parts = {int(p.suffix[1:]): p for p in first.parent.glob(f"{first.name}.*") if re.fullmatch(r"\.[0-9]{3,}", p.suffix)}
-    if sorted(parts) != list(range(1, len(parts) + 1)):
-        raise FileNotFoundError(f"volumes of {first} are missing")
-    return [first, *(parts[k] for k in sorted(parts))]
+    first = Path(base)
+    stem = Path(re.sub(r"\.[0-9]{3,}$", "", base))
+    if stem != first and (stem.exists() or _manifest(stem).exists()):
+        first = stem
+    parts = _parts(first)
+    if gone := [p for p in parts if not p.exists()]:
+        raise FileNotFoundError(f"volumes are missing: {', '.join(map(str, gone))}")
+    return parts
 
 
 def write_archive(encoded: DataFrame, path: str, mode: str, block_size: int, orig_len: int, metadata: bytes = b"", sealed: bytes = b"", split: int | None = None, overwrite: bool = False) -> dict:
-    """Write one archive, or its volumes, in order of blocks. The driver holds one partition's blocks at a time.
+    """Write one archive, or its volumes and a list of them, in order of blocks. The driver holds one partition's blocks at a time.
 
-    Volumes of an earlier archive at this path count as present and are removed on overwriting.
+    Blocks are coded once, into the shared folder. New files take their names when all are complete, so a failed write
+    leaves an earlier archive as it was; only files that the earlier archive lists are removed on overwriting.
     """
-    old = [p for p in [Path(path), *Path(path).parent.glob(f"{Path(path).name}.*")] if p.exists() and (p == Path(path) or re.fullmatch(r"\.[0-9]{3,}", p.suffix))]
+    base = Path(path)
+    old = [p for p in [*_parts(base), _manifest(base)] if p.exists()]
     if old and not overwrite:
         raise FileExistsError(path)
-    for p in old:
-        p.unlink()
+    started = time.time()
     head = MAGIC[mode] + orig_len.to_bytes(8, "little") + (b"\1" if sealed else b"\0") + block_size.to_bytes(4, "little") + len(metadata).to_bytes(4, "little") + sealed + metadata
-    out, part, room, written, chunks = open(path, "wb"), 0, split or 1 << 62, 0, 0
+    token, names, sizes, chunks, room, out = uuid.uuid4().hex[:8], [], [], 0, 0, None
+    fresh = lambda name: base.with_name(f".{name}.{token}")
     try:
-        for data in _stream(encoded, head):
+        for data in _stream(staged(encoded), head):
             chunks += 1
             while data:
                 if not room:
-                    out.close()
-                    part, room = part + 1, split
-                    out = open(f"{path}.{part:03d}", "wb")
+                    if out:
+                        out.close()
+                    names.append(f"{base.name}.{len(names):03d}" if names else base.name)
+                    sizes.append(0)
+                    out, room = open(fresh(names[-1]), "wb"), split or 1 << 62
                 out.write(data[:room])
-                written += min(len(data), room)
+                sizes[-1] += len(data[:room])
                 data, room = data[room:], max(0, room - len(data))
-    finally:
         out.close()
-    return {"input_size": orig_len, "output_size": written, "chunks": chunks - 1, "volumes": part + 1}
+        if taken := [n for n in names if base.with_name(n).exists() and base.with_name(n) not in old]:
+            raise FileExistsError(f"not part of the archive that is overwritten: {', '.join(taken)}")
+    except BaseException:
+        if out:
+            out.close()
+        for n in names:
+            fresh(n).unlink(missing_ok=True)
+        raise
+    for p in old:
+        p.unlink()
+    for n in names:
+        fresh(n).rename(base.with_name(n))
+    if len(names) > 1:
+        _manifest(base).write_text(json.dumps([{"name": n, "size": k} for n, k in zip(names, sizes, strict=True)]))
+    return {"input_size": orig_len, "output_size": sum(sizes), "chunks": chunks - 1, "volumes": len(names), "elapsed": time.time() - started}
 
 
 def _stream(encoded: DataFrame, head: bytes) -> Iterator[bytes]:
@@ -105,12 +143,28 @@ def _stream(encoded: DataFrame, head: bytes) -> Iterator[bytes]:
 
 def read_metadata(path: str) -> bytes | None:
     """An archive's metadata, without a password and without reading a block."""
-    with open(volume_paths(path)[0], "rb") as f:
-        head = f.read(21)
-        if len(head) < 21 or head[:4] not in MAGIC.values():
-            raise ValueError("not an archive of a known format")
-        f.seek(28 if head[12] & 1 else 0, 1)
-        return f.read(int.from_bytes(head[17:21], "little")) or None
+    paths = volume_paths(path)
+    sizes = [p.stat().st_size for p in paths]
+    head = _bytes_at(paths, sizes, 0, 21)
+    if len(head) < 21 or head[:4] not in MAGIC.values():
+        raise ValueError("not an archive of a known format")
+    length = int.from_bytes(head[17:21], "little")
+    found = _bytes_at(paths, sizes, 21 + (28 if head[12] & 1 else 0), length)
+    if len(found) < length:
+        raise ValueError("metadata cut short")
+    return found or None
+
+
+def header_of(path: str) -> dict:
+    """What an archive's header says: mode, orig_len, encrypted, block_size, meta_len, and its size on storage."""
+    paths = volume_paths(path)
+    sizes = [p.stat().st_size for p in paths]
+    head = _bytes_at(paths, sizes, 0, 21)
+    if len(head) < 21 or head[:4] not in MAGIC.values():
+        raise ValueError("not an archive of a known format")
+    mode = next(k for k, v in MAGIC.items() if v == head[:4])
+    number = lambda a, n: int.from_bytes(head[a : a + n], "little")
+    return {"mode": mode, "orig_len": number(4, 8), "encrypted": bool(head[12] & 1), "block_size": number(13, 4), "meta_len": number(17, 4), "archive_size": sum(sizes), "volumes": len(paths)}
 
 
 def read_archive(spark: SparkSession, path: str, password: str | None = None) -> DataFrame:
@@ -146,7 +200,7 @@ def read_archive(spark: SparkSession, path: str, password: str | None = None) ->
 
     table = spark.createDataFrame(frames, "archive_id string, block_idx long, mode string, orig_size int, at long, length long").repartition(max(1, len(frames) // 4))
     blocks = table.mapInPandas(fetch, "archive_id string, block_idx long, mode string, orig_size int, payload binary")
-    return decrypt_blocks(blocks, derive_key(password, head[21:37]), head[37:49]) if sealed else blocks
+    return decrypt_blocks(blocks, derive_key(password, head[21:37]), head[37:49], per_archive=False) if sealed else blocks
 
 
 def _bytes_at(paths: list[Path], sizes: list[int], at: int, n: int) -> bytes:
