@@ -91,9 +91,9 @@ def classify(blocks: DataFrame) -> DataFrame:
     return stats.select(*blocks.columns, F.col("_stats.entropy").alias("entropy"), F.col("_stats.printable").alias("printable"), kind(F.col("raw"), F.col("_stats.entropy"), F.col("_stats.printable")).alias("kind"))
 
 
-def entropy(blocks: DataFrame, *keys: str) -> DataFrame:
-    """keys, entropy: the same number from the relational histogram, for analysis by any key."""
-    h = byte_histogram(blocks, *keys)
+def entropy(blocks: DataFrame, *keys: str, sample: int | None = SAMPLE) -> DataFrame:
+    """keys, entropy: the same number from the relational histogram, for analysis by any key; of whole payloads without ``sample``."""
+    h = byte_histogram(blocks, *keys, sample=sample)
     total = h.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.log2("cnt")).alias("s"))
     return total.select(*keys, F.abs(F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
 

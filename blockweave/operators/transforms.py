@@ -6,6 +6,8 @@ import numpy as np
 
 #: Start positions whose ranks are kept for each block.
 LANES = 8
+#: Bytes that suffixes are sorted by at first: as many as one number holds.
+HEAD = 7
 
 
 class CorruptBlock(ValueError):
@@ -13,21 +15,36 @@ class CorruptBlock(ValueError):
 
 
 def suffix_array(data: bytes) -> np.ndarray:
-    """Suffix starts in byte order, a prefix before what it begins; by prefix doubling."""
+    """Suffix starts in byte order, a prefix before what it begins: sorted by their first bytes, then by doubling, in
+    which only suffixes that aren't told apart yet are sorted again."""
     n = len(data)
     if n < 2:
         return np.arange(n)
-    rank, step = np.frombuffer(data, np.uint8).astype(np.int64) + 1, 1
-    while True:
-        key = rank * (n + 258)
-        key[:-step] += rank[step:]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
+    x = np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64) + 1, np.zeros(HEAD, np.int64)])
+    key = x[:n].copy()
+    for j in range(1, HEAD):
+        key = key * 257 + x[j : n + j]
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1  # beyond the end
+    group = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    rank[order] = group
+    step, left = HEAD, np.flatnonzero(~(starts & np.concatenate([starts[1:], [True]])))
+    while len(left):
+        own, group = order[left], group[left] if len(group) == n else group
+        key = group * (n + 1) + rank[np.minimum(own + step, n)] + 1
+        by = np.argsort(key)
+        key, own = key[by], own[by]
+        order[left] = own
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        group = np.maximum.accumulate(np.where(fresh, left, 0))
+        rank[own] = group
+        stay = ~(fresh & np.concatenate([fresh[1:], [True]]))
+        left, group = left[stay], group[stay]
         step *= 2
-        if rank[order[-1]] == n or step >= n:
-            return order
+    return order
 
 
 def lane_starts(n: int) -> np.ndarray:

@@ -8,6 +8,7 @@ _HEADS = ["", *SIGNATURES.values(), *EXECUTABLES.values()]
 _LONG = ("matroska", "riff", "id3")
 _DOCS = "d AS (SELECT doc_id, lang, source, text, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)"
 _BYTES = f"{_DOCS}, b AS (SELECT doc_id, lang, ('0x' || unnest(regexp_extract_all(substr(h, 1, 131072), '..')))::INT AS byte FROM d)"
+_WHOLE = _BYTES.replace("substr(h, 1, 131072)", "h")
 _HEADED = f"WITH p AS (SELECT doc_id, lang, ([{', '.join(repr(x) for x in _HEADS)}])[CAST(doc_id % {len(_HEADS)} AS INT) + 1] || hex(encode(text)) AS h FROM documents)"
 _EXEC = "(length(h) >= 8 AND (" + " OR ".join(f"starts_with(h, '{x}')" for x in EXECUTABLES.values()) + "))"
 _MAGIC = "CASE " + " ".join(f"WHEN starts_with(h, '{x}'){' AND length(h) >= 8' if k in _LONG else ''} THEN '{k}'" for k, x in SIGNATURES.items()) + " END"
@@ -48,9 +49,9 @@ _PAGE = "SELECT page_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, md5(x) AS m
 SQL = {
     "block_split": f"WITH {_DOCS}, k AS (SELECT doc_id, h, n, unnest(range((n + 4095) // 4096)) AS block_idx FROM d) SELECT doc_id, block_idx, CAST(least(4096, n - 4096 * block_idx) AS BIGINT) AS orig_size, md5(unhex(substr(h, 8192 * block_idx + 1, 8192))) AS md5 FROM k",
     "block_sizes_by_level": "SELECT level, CAST(CASE WHEN level IN (0, 1) THEN 1 WHEN level = 2 THEN 4 WHEN level = 3 THEN 16 WHEN level IN (4, 5) THEN 32 WHEN level BETWEEN 6 AND 9 THEN 64 ELSE 16 END AS BIGINT) * 1048576 AS block_size, CASE WHEN level < 0 THEN 19 ELSE level END AS fast_level FROM (SELECT unnest(range(-1, 12)) AS level)",
-    "byte_histogram": f"WITH {_BYTES} SELECT byte, count(*) AS cnt FROM b GROUP BY byte",
+    "byte_histogram": f"WITH {_WHOLE} SELECT byte, count(*) AS cnt FROM b GROUP BY byte",
     "byte_entropy": f"WITH {_BYTES}, c AS (SELECT doc_id, byte, count(*) AS c FROM b GROUP BY 1, 2) SELECT doc_id, round(abs(-sum(c / t * log2(c / t))), 6) AS entropy, round(sum(CASE WHEN byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13) THEN c ELSE 0 END) / sum(c), 6) AS printable FROM (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS t FROM c) GROUP BY doc_id",
-    "entropy_by_lang": f"WITH {_BYTES}, c AS (SELECT lang, byte, count(*) AS c FROM b GROUP BY 1, 2) SELECT lang, round(-sum(c / t * log2(c / t)), 6) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY lang) AS t FROM c) GROUP BY lang",
+    "entropy_by_lang": f"WITH {_WHOLE}, c AS (SELECT lang, byte, count(*) AS c FROM b GROUP BY 1, 2) SELECT lang, round(-sum(c / t * log2(c / t)), 6) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY lang) AS t FROM c) GROUP BY lang",
     "classify_kind": f"{_KINDS} SELECT doc_id, kind, kind = 'AlreadyCompressed' AS stored FROM k",
     "classify_summary": f"{_KINDS} SELECT lang, kind, count(*) AS n FROM k GROUP BY 1, 2",
     "magic_hits": f"{_HEADED} SELECT {_MAGIC} AS magic, count(*) AS n FROM p GROUP BY 1",
@@ -67,8 +68,14 @@ SQL = {
     "token_contexts": f"{_RLE} SELECT item_id, pos, token, lag(token, 1, 0) OVER w AS prev1, lag(token, 2, 0) OVER w AS prev2 FROM tok WINDOW w AS (PARTITION BY item_id ORDER BY pos)",
     "symbol_cumulative": f"{_RLE}, h AS (SELECT item_id, token, count(*) AS cnt FROM tok GROUP BY 1, 2) SELECT item_id, token, cnt, CAST(sum(cnt) OVER (PARTITION BY item_id ORDER BY token) - cnt AS BIGINT) AS below FROM h",
     "cond_entropy": f"{_CTX}, given AS (SELECT *, sum(cnt) OVER (PARTITION BY item_id, ctx) AS n FROM h1) SELECT item_id, round(abs(-sum(cnt * log2(cnt / n))) / sum(cnt), 6) AS h1 FROM given GROUP BY item_id",
-    "normalized_counts": f"{_RLE} SELECT item_id, CAST(2048 AS BIGINT) AS total, count(DISTINCT token) AS kinds, CAST(0 AS BIGINT) AS below_one, count(*) AS tokens FROM tok GROUP BY item_id",
-    "e8e9_roundtrip": _PAGE.format("unhex('4D5AE8E9E8') || encode(html) || unhex('E8FFFFFFFFE9')"),
+    "normalized_counts": f"""{_RLE}, h AS (SELECT item_id, token, count(*) AS cnt FROM tok GROUP BY 1, 2),
+nf AS (SELECT *, greatest(1, cnt * 2048 // sum(cnt) OVER (PARTITION BY item_id)) AS f FROM h),
+ng AS (SELECT *, 2048 - sum(f) OVER (PARTITION BY item_id) AS missing, row_number() OVER (PARTITION BY item_id ORDER BY f DESC, token) AS r FROM nf)
+SELECT item_id, token, cnt, CAST(f + CASE WHEN r = 1 THEN missing ELSE 0 END AS BIGINT) AS norm FROM ng""",
+    "e8e9_roundtrip": """WITH p AS (SELECT page_id, unhex('4D5AE8E9E8') || encode(html) || unhex('E8FFFFFFFFE9') AS x FROM pages),
+v AS (SELECT *, hex(x) AS h, ('0x' || substr(hex(x), 7, 2))::BIGINT + 256 * ('0x' || substr(hex(x), 9, 2))::BIGINT + 65536 * ('0x' || substr(hex(x), 11, 2))::BIGINT + 16777216 * ('0x' || substr(hex(x), 13, 2))::BIGINT AS target FROM p),
+t AS (SELECT *, (target + 2) % 4294967296 AS t FROM v)
+SELECT page_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, md5(x) AS md5, substr(h, 1, 6) || printf('%02X%02X%02X%02X', t % 256, t // 256 % 256, t // 65536 % 256, t // 16777216) || substr(h, 15, 4) AS head, true AS changed FROM t""",
     "store_roundtrip": _PAGE.format("unhex('504B0304') || encode(html)"),
     "tans_roundtrip": _DOC_DIGEST,
     "range_roundtrip": _TURN_DIGEST,
@@ -78,6 +85,7 @@ SQL = {
     "archive_roundtrip_fast": _DOC_DIGEST,
     "table_roundtrip_fast": _DOC_DIGEST,
     "table_roundtrip_balanced": _DOC_DIGEST,
+    "table_roundtrip_ratio": _DOC_DIGEST,
     "encrypt_roundtrip": _TURN_DIGEST,
     "wrong_password_null": "SELECT true AS is_null, count(*) AS n FROM conversations",
     "volume_split_sizes": "WITH e AS (SELECT source, sum(octet_length(encode(text))) AS total FROM documents GROUP BY source), v AS (SELECT source, total, unnest(range(CAST((total + 63999) // 64000 AS BIGINT))) AS volume FROM e) SELECT source, volume, CAST(least(64000, total - 64000 * volume) AS BIGINT) AS length FROM v",
@@ -90,11 +98,19 @@ SQL = {
     "metadata_json_roundtrip": f"{_ITEMS} SELECT page_id % 10 AS archive_id, name, size, type, modified_ts, path, is_dir FROM items",
     "archive_listing": f"{_ITEMS} SELECT page_id % 10 AS archive_id, name, size, path FROM items",
     "listing_order": f"{_ITEMS} SELECT page_id, page_id % 10 AS bucket, CAST(row_number() OVER (PARTITION BY page_id % 10 ORDER BY is_dir DESC, lower(name), path, page_id) AS INT) AS place FROM items",
-    "default_names": r"WITH q AS (SELECT page_id, url || (['', '.ctx', '.ctx.001', '.002'])[CAST(page_id % 4 AS INT) + 1] AS p FROM pages), v AS (SELECT *, regexp_replace(p, '\.[0-9]{3}$', '') AS b FROM q) SELECT page_id, p || '.ctx' AS packed, CASE WHEN ends_with(b, '.ctx') THEN left(b, -4) ELSE b || '.out' END AS restored, regexp_matches(p, '\.[0-9]{3}$') AS volume, split_part(p, '/', -1) AS base, CASE WHEN regexp_full_match(p, '/[^/]*') THEN '/' ELSE regexp_extract(p, '^(.*)/[^/]*$', 1) END AS parent FROM v",
-    "size_labels": "WITH s AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) * CAST(power(32, doc_id % 6) AS BIGINT) AS n FROM documents) SELECT doc_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GB', n / 1073741824.0::DOUBLE) END AS label FROM s",
+    "default_names": r"WITH q AS (SELECT page_id, url || (['', '.ctx', '.ctx.001', '.002'])[CAST(page_id % 4 AS INT) + 1] AS p FROM pages), v AS (SELECT *, regexp_replace(p, '\.[0-9]{3}$', '') AS b FROM q) SELECT page_id, p || '.ctx' AS packed, CASE WHEN ends_with(b, '.ctx') THEN left(b, -4) ELSE b || '.out' END AS restored, regexp_replace(b, '\.ctx$', '') || '_restored' AS folder, regexp_matches(p, '\.[0-9]{3}$') AS volume, split_part(p, '/', -1) AS base, CASE WHEN regexp_full_match(p, '/[^/]*') THEN '/' ELSE regexp_extract(p, '^(.*)/[^/]*$', 1) END AS parent FROM v",
+    "size_labels": "WITH s AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) * CAST(power(32, doc_id % 6) AS BIGINT) AS n FROM documents) SELECT doc_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576.0::DOUBLE) ELSE printf('%.2f GB', n / 1073741824.0::DOUBLE) END AS label, CASE WHEN n * 1048576 < 1024 THEN (n * 1048576) || ' B' WHEN n < 1024 THEN regexp_replace(regexp_replace(printf('%.2f', n::DOUBLE), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || ' MB' WHEN n < 1048576 THEN regexp_replace(regexp_replace(printf('%.2f', n / 1024.0::DOUBLE), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || ' GB' ELSE regexp_replace(regexp_replace(printf('%.2f', n / 1048576.0::DOUBLE), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || ' TB' END AS short FROM s",
     "hidden_filter": f"{_ITEMS} SELECT page_id, name FROM items WHERE page_id % 5 <> 0 AND NOT starts_with(name, '.')",
     "mode_selection": "SELECT k, (['balanced', 'fast', 'ratio', 'fast'])[k + 1] AS mode, k * 104857600 AS split_bytes FROM (SELECT unnest(range(4)) AS k)",
     "le_numbers": "WITH n AS (SELECT doc_id, doc_id * 7919 + 65537 AS n FROM documents), x AS (SELECT *, lpad(upper(to_hex(n)), 16, '0') AS b FROM n) SELECT doc_id, array_to_string(list_reverse(regexp_extract_all(b, '..')), '') AS le, n AS back, b AS be FROM x",
     "bundle_members": "SELECT source, doc_id, CAST(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) - octet_length(encode(text)) AS BIGINT) AS \"offset\", md5(encode(text)) AS md5 FROM documents",
-    "progress_speed": "WITH p AS (SELECT user_id, event_id AS processed, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), s AS (SELECT *, CASE WHEN processed - before >= 0.2 THEN CAST(processed - before AS DOUBLE) / CAST(processed - before AS DOUBLE) END AS speed FROM p) SELECT user_id, processed, round(speed, 6) AS speed, round((1000000 - processed) / speed, 6) AS eta FROM s",
+    "progress_speed": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, CAST(sum(event_id % 1000 + 1) AS BIGINT) AS done FROM events GROUP BY 1, 2),
+p AS (SELECT *, us / 1e6 AS sec, CAST(sum(done) OVER (PARTITION BY user_id ORDER BY us) AS BIGINT) AS processed FROM e),
+s AS (SELECT *, CASE WHEN sec - lag(sec) OVER w >= 0.2 THEN (processed - lag(processed) OVER w) / (sec - lag(sec) OVER w) END AS speed FROM p WINDOW w AS (PARTITION BY user_id ORDER BY us))
+SELECT user_id, us, processed, round(processed * 100.0::DOUBLE / 1000000, 6) AS share, round(speed, 6) AS speed, round((1000000 - processed) / speed, 3) AS eta FROM s""",
+    "stage_profile": "SELECT unnest(['transform', 'count', 'encode', 'decode', 'restore']) AS stage, count(*) AS blocks, true AS took FROM benchmark",
+    "tar_roundtrip": "SELECT page_id % 10 AS archive_id, 'd/p' || page_id AS path, false AS is_dir, CAST(octet_length(encode(html)) AS BIGINT) AS size, md5(encode(html)) AS md5 FROM pages UNION ALL SELECT DISTINCT page_id % 10, 'd', true, 0, NULL FROM pages",
+    "selection": f"""{_ITEMS}, n AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN name || '.ctx' ELSE name END AS shown FROM items),
+t AS (SELECT path FROM (SELECT DISTINCT path FROM items WHERE page_id % 2 = 0 UNION ALL SELECT DISTINCT path FROM items WHERE page_id % 5 = 0) GROUP BY path HAVING count(*) = 1)
+SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS size, count(*) AS n FROM n JOIN t USING (path) WHERE NOT is_dir AND regexp_matches(shown, '\\.ctx(\\.[0-9]{{3}})?$')""",
 }

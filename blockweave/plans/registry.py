@@ -54,7 +54,7 @@ def block_sizes_by_level(spark, sf):
 
 
 def byte_histogram(spark, sf):
-    return blocks.byte_histogram(_docs(spark, sf).select("raw"))
+    return blocks.byte_histogram(_docs(spark, sf).select("raw"), sample=None)
 
 
 def byte_entropy(spark, sf):
@@ -64,7 +64,7 @@ def byte_entropy(spark, sf):
 
 def entropy_by_lang(spark, sf):
     raw = _table(spark, sf, "documents").select("lang", F.encode("text", "UTF-8").alias("raw"))
-    return classify.entropy(raw, "lang").select("lang", F.round("entropy", 6).alias("entropy"))
+    return classify.entropy(raw, "lang", sample=None).select("lang", F.round("entropy", 6).alias("entropy"))
 
 
 #: Heads put before texts to give every kind its cases, in turn; an empty one leaves the text as it is.
@@ -145,8 +145,7 @@ def cond_entropy(spark, sf):
 
 
 def normalized_counts(spark, sf):
-    n = kernels.normalised_counts(_bench(spark, sf), "item_id")
-    return n.groupBy("item_id").agg(F.sum("norm").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("norm") < 1).cast("long")).alias("below_one"), F.sum("cnt").alias("tokens"))
+    return kernels.normalised_counts(_bench(spark, sf), "item_id").select("item_id", "token", "cnt", "norm")
 
 
 # Coders
@@ -154,7 +153,10 @@ def normalized_counts(spark, sf):
 
 def e8e9_roundtrip(spark, sf):
     pages = _table(spark, sf, "pages").select("page_id", F.concat(F.unhex(F.lit("4D5AE8E9E8")), F.encode("html", "UTF-8"), F.unhex(F.lit("E8FFFFFFFFE9"))).alias("raw"))
-    return _digest(kernels.roundtrip(pages, "page_id", "e8e9"), "page_id")
+    coded = kernels.e8e9_blocks(pages, "page_id").select(F.col("page_id").alias("k"), F.substring("raw", 1, 9).alias("head"), F.md5("raw").alias("code"))
+    back = kernels.roundtrip(pages, "page_id", "e8e9").join(coded, F.col("page_id") == F.col("k"))
+    # The first call stands at offset 2; its target, the four bytes after it, grows by 2.
+    return back.select("page_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.md5("raw").alias("md5"), F.hex("head").alias("head"), (F.col("code") != F.md5("raw")).alias("changed"))
 
 
 def store_roundtrip(spark, sf):
@@ -172,7 +174,7 @@ def range_roundtrip(spark, sf):
 
 def _rejoined(decoded: DataFrame) -> DataFrame:
     g = decoded.groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "raw"))).alias("b"))
-    return g.select("archive_id", F.aggregate("b", F.lit(bytearray()).cast("binary"), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
+    return g.select("archive_id", archive.joined_bytes(F.col("b"), "raw").alias("raw"))
 
 
 def spark_slots(df: DataFrame) -> int:
@@ -262,7 +264,7 @@ def archive_stats(spark, sf):
 def _table_roundtrip(spark, sf, mode):
     cut = blocks.table_blocks(_docs(spark, sf), 1 << 18)
     raw = cut.select(F.col("block_id").alias("archive_id"), F.lit(0).cast("long").alias("block_idx"), F.octet_length("raw").alias("orig_size"), "raw", "members")
-    coded = codec.encode_blocks(raw, mode, 3)
+    coded = codec.encode_blocks(raw, mode)
     back = codec.decode_blocks(coded, "members")
     return _digest(blocks.table_rows(back), "archive_id", "doc_id")
 
@@ -275,11 +277,15 @@ def table_roundtrip_balanced(spark, sf):
     return _table_roundtrip(spark, sf, "balanced")
 
 
+def table_roundtrip_ratio(spark, sf):
+    return _table_roundtrip(spark, sf, "ratio")
+
+
 def mode_compare_sizes(spark, sf):
     cut = blocks.table_blocks(_docs(spark, sf), 1 << 18)
     raw = cut.select(F.octet_length("raw").alias("orig_size"), "raw")
     out = None
-    for mode in ("fast", "balanced"):
+    for mode in codec.MAGIC:
         s = archive.stats(codec.encode_blocks(raw, mode, 19), "mode").withColumn("ratio", F.round(S.ratio_percent(F.col("output_size"), F.col("input_size")), 4))
         out = s if out is None else out.unionByName(s)
     return out
@@ -325,12 +331,12 @@ def listing_order(spark, sf):
 def default_names(spark, sf):
     p = F.concat("url", F.element_at(F.array(*map(F.lit, ["", ".ctx", ".ctx.001", ".002"])), (F.pmod("page_id", F.lit(4)) + 1).cast("int")))
     pages = _table(spark, sf, "pages").select("page_id", p.alias("p"))
-    return pages.select("page_id", S.compressed_name(F.col("p")).alias("packed"), S.restored_name(F.col("p")).alias("restored"), S.is_volume(F.col("p")).alias("volume"), S.basename(F.col("p")).alias("base"), S.parent(F.col("p")).alias("parent"))
+    return pages.select("page_id", S.compressed_name(F.col("p")).alias("packed"), S.restored_name(F.col("p")).alias("restored"), S.restored_folder(F.col("p")).alias("folder"), S.is_volume(F.col("p")).alias("volume"), S.basename(F.col("p")).alias("base"), S.parent(F.col("p")).alias("parent"))
 
 
 def size_labels(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", (F.octet_length("text").cast("long") * F.expr("power(32, doc_id % 6)").cast("long")).alias("n"))
-    return docs.select("doc_id", "n", S.format_bytes(F.col("n")).alias("label"))
+    return docs.select("doc_id", "n", S.format_bytes(F.col("n")).alias("label"), S.format_bytes_short(F.col("n") * 1024 * 1024).alias("short"))
 
 
 def hidden_filter(spark, sf):
@@ -352,14 +358,35 @@ def bundle_members(spark, sf):
     docs = _table(spark, sf, "documents").select("source", F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("raw"), F.octet_length("text").cast("long").alias("size"))
     members = bundle.member_offsets(docs.select("source", "path", "size"), "source")
     packed = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path", "raw"))).alias("m"))
-    packed = packed.select("source", F.aggregate("m", F.lit(bytearray()).cast("binary"), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
+    packed = packed.select("source", archive.joined_bytes(F.col("m"), "raw").alias("raw"))
     out = bundle.unbundle(packed, members, "source")
     return out.select("source", F.col("path").alias("doc_id"), "offset", F.md5("raw").alias("md5"))
 
 
 def progress_speed(spark, sf):
-    e = _table(spark, sf, "events").select("user_id", F.col("event_id").cast("double").alias("at"), F.col("event_id").alias("processed"), F.lit(1_000_000).cast("long").alias("total"))
-    return progress.speed(e, "user_id").select("user_id", "processed", F.round("speed", 6).alias("speed"), F.round("eta", 6).alias("eta"))
+    e = _table(spark, sf, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"), (F.col("event_id") % 1000 + 1).alias("done"))
+    e = e.groupBy("user_id", "us").agg(F.sum("done").alias("done")).withColumn("at", F.col("us") / 1e6).withColumn("total", F.lit(1_000_000).cast("long"))
+    timed = progress.speed(progress.running(e, "user_id"), "user_id")
+    return timed.select("user_id", "us", "processed", F.round("share", 6).alias("share"), F.round("speed", 6).alias("speed"), F.round("eta", 3).alias("eta"))
+
+
+def stage_profile(spark, sf):
+    timed = kernels.stage_times(_bench(spark, sf), "item_id")
+    return progress.stage_profile(timed).select("stage", "blocks", (F.col("nanoseconds") > 0).alias("took"))
+
+
+def tar_roundtrip(spark, sf):
+    p = _table(spark, sf, "pages").select(F.pmod("page_id", F.lit(10)).alias("archive_id"), F.concat(F.lit("d/p"), "page_id").alias("path"), F.lit(False).alias("is_dir"), F.encode("html", "UTF-8").alias("raw"))
+    folder = p.select("archive_id").distinct().select("archive_id", F.lit("d").alias("path"), F.lit(True).alias("is_dir"), F.lit(None).cast("binary").alias("raw"))
+    back = bundle.tar_members(bundle.tar_payloads(p.unionByName(folder), "archive_id"), "archive_id")
+    return back.select("archive_id", "path", "is_dir", "size", F.md5("raw").alias("md5"))
+
+
+def selection(spark, sf):
+    items = _items(spark, sf).withColumn("name", F.when(F.pmod("page_id", F.lit(3)) == 0, F.concat("name", F.lit(".ctx"))).otherwise(F.col("name")))
+    first, second = (items.filter(F.pmod("page_id", F.lit(k)) == 0).select("path") for k in (2, 5))
+    chosen = items.join(catalog.toggled(first, second), "path")
+    return catalog.selected_size(chosen, S.can_extract(F.lit(True), F.col("is_dir"), F.col("name")))
 
 
 QUERIES = [
@@ -367,8 +394,8 @@ QUERIES = [
     bwt_primary_indexes, kernel_primary_indexes, lf_mapping, mtf_ranks, rle_tokens, kernel_tokens, token_hist0, token_hist1, token_contexts, symbol_cumulative,
     cond_entropy, normalized_counts, e8e9_roundtrip, store_roundtrip, tans_roundtrip, range_roundtrip, zstd_roundtrip, archive_roundtrip_ratio,
     archive_roundtrip_balanced, archive_roundtrip_fast, encrypt_roundtrip, wrong_password_null, volume_split_sizes, volume_bytes, volume_rejoined, volume_total,
-    header_report, archive_stats, table_roundtrip_fast, table_roundtrip_balanced, mode_compare_sizes, first_difference, metadata_json_roundtrip, archive_listing, listing_order, default_names, size_labels,
-    hidden_filter, mode_selection, le_numbers, bundle_members, progress_speed,
+    header_report, archive_stats, table_roundtrip_fast, table_roundtrip_balanced, table_roundtrip_ratio, mode_compare_sizes, first_difference, metadata_json_roundtrip, archive_listing, listing_order, default_names, size_labels,
+    hidden_filter, mode_selection, le_numbers, bundle_members, progress_speed, stage_profile, tar_roundtrip, selection,
 ]
 
 

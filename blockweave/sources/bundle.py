@@ -1,7 +1,12 @@
-"""Bundles of many members in one payload, by running sums of their sizes."""
+"""Bundles of many members in one payload: by running sums of their sizes, or as tar."""
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,3 +21,47 @@ def unbundle(payloads: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """``members`` and raw: each one's bytes cut out of its bundle's payload."""
     joined = members.join(payloads.select(key, "raw"), key)
     return joined.withColumn("raw", F.col("raw").substr((F.col("offset") + 1).cast("int"), F.col("size").cast("int")))
+
+
+def pack_tar(paths: list[str], target: str) -> int:
+    """Files and folders as one tar file, members in order of their names; its size. Streams on the driver."""
+    with tarfile.open(target, "w") as t:
+        for p in sorted(paths, key=lambda x: os.path.basename(os.path.normpath(x))):
+            t.add(p, arcname=os.path.basename(os.path.normpath(p)))
+    return os.path.getsize(target)
+
+
+def unpack_tar(source: str, folder: str) -> list[str]:
+    """A tar file's members written under a folder; their names. Members that lead out of it are refused."""
+    with tarfile.open(source) as t:
+        t.extractall(folder, filter="data")
+        return t.getnames()
+
+
+def tar_members(payloads: DataFrame, key: str) -> DataFrame:
+    """key, path, is_dir, size, raw: a row for each member of tar payloads (``raw``), found in one Arrow pass."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, raw in zip(pdf[key], pdf["raw"], strict=True):
+                with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+                    rows += [(k, m.name, m.isdir(), m.size, t.extractfile(m).read() if m.isfile() else None) for m in t]
+            yield pd.DataFrame(rows, columns=[key, "path", "is_dir", "size", "raw"])
+
+    return payloads.select(key, "raw").mapInPandas(run, f"{key} {dict(payloads.dtypes)[key]}, path string, is_dir boolean, size long, raw binary")
+
+
+def tar_payloads(members: DataFrame, key: str) -> DataFrame:
+    """key, raw: members (path, is_dir, raw) as one tar payload for each key, in order of paths; for bundles that fit into a value."""
+
+    def run(k, pdf):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for r in pdf.sort_values("path").itertuples():
+                info = tarfile.TarInfo(r.path)
+                info.type, info.size = (tarfile.DIRTYPE, 0) if r.is_dir else (tarfile.REGTYPE, len(r.raw or b""))
+                t.addfile(info, None if r.is_dir else io.BytesIO(r.raw or b""))
+        return pd.DataFrame({key: [k[0]], "raw": [out.getvalue()]})
+
+    return members.select(key, "path", "is_dir", "raw").groupBy(key).applyInPandas(run, f"{key} {dict(members.dtypes)[key]}, raw binary")

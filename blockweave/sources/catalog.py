@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import basename, is_hidden, item_type
@@ -17,13 +18,40 @@ def ordered(items: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, hidden: bool = False) -> DataFrame:
-    """name, size, type, modified_ts, path, is_dir of the files under a folder; contents aren't read, unreadable entries are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
-    name = basename(F.col("path"))
-    items = files.select(name.alias("name"), F.col("length").alias("size"), item_type(name, F.lit(False)).alias("type"), F.unix_timestamp("modificationTime").alias("modified_ts"), "path", F.lit(False).alias("is_dir"))
+    """name, size, type, modified_ts, path, is_dir of a folder's entries, folders included; an archive lists what it holds.
+
+    The listing asks the file system, on the driver; no contents are read. Entries that can't be read are left out.
+    """
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    rows = []
+    if path.endswith(".ctx") and fs.exists(place) and not fs.getFileStatus(place).isDirectory():
+        head = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive_id"), "content")
+        return list_archive(head).drop("archive_id")
+    entries = fs.listStatusIterator(place)
+    while entries.hasNext():
+        try:
+            e = entries.next()
+            rows.append((e.getPath().getName(), 0 if e.isDirectory() else e.getLen(), e.getModificationTime() // 1000, e.getPath().toString(), e.isDirectory()))
+        except Py4JJavaError:
+            continue
+    items = spark.createDataFrame(rows, "name string, size bigint, modified_ts bigint, path string, is_dir boolean")
+    items = items.select("name", "size", item_type(F.col("name"), F.col("is_dir")).alias("type"), "modified_ts", "path", "is_dir")
     return ordered(items if hidden else items.filter(~is_hidden(F.col("name"))))
 
 
+def selected_size(items: DataFrame, selected: Column) -> DataFrame:
+    """size, n: totals of the selected items."""
+    return items.agg(F.coalesce(F.sum(F.when(selected, F.col("size"))), F.lit(0)).alias("size"), F.count(F.when(selected, 1)).alias("n"))
+
+
+def toggled(selection: DataFrame, path: DataFrame) -> DataFrame:
+    """A selection of paths in which those of ``path`` are added where they are absent and removed where they are present."""
+    both = selection.select("path").distinct().unionByName(path.select("path").distinct())
+    return both.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("path")
+
+
 def to_metadata(items: DataFrame, *keys: str) -> DataFrame:
     """keys, metadata: items as a JSON array, in their listing order."""
     item = F.struct((~F.col("is_dir")).alias("o1"), F.lower("name").alias("o2"), "path", F.struct("name", "size", "type", "modified_ts", "path", "is_dir").alias("item"))

@@ -75,6 +75,51 @@ def test_normalised_counts():
         assert n.sum() == tans.STATES and all(x >= 1 for x, c in zip(n, counts, strict=True) if c)
 
 
+def test_normalised_counts_step_by_step():
+    def by_steps(counts):
+        total, out = sum(counts), [0] * len(counts)
+        for i, c in enumerate(counts):
+            out[i] = max(1, c * 2048 // total) if c else 0
+        while (gap := 2048 - sum(out)) != 0:
+            at = out.index(max(out))
+            out[at] += 1 if gap > 0 else -1
+        return out
+
+    r = random.Random(1)
+    for _ in range(60):
+        counts = [r.choice([0, 0, 1, 1, 2, r.randrange(10**r.randrange(1, 7))]) for _ in range(257)]
+        counts[r.randrange(257)] += 1
+        assert tans.normalise(np.array(counts)).tolist() == by_steps(counts)
+
+
+def test_e8e9_against_a_plain_loop():
+    def plain(data, sign):
+        out, i = bytearray(data), 0
+        while i + 4 < len(out):
+            if out[i] in (0xE8, 0xE9):
+                out[i + 1 : i + 5] = ((int.from_bytes(out[i + 1 : i + 5], "little") + sign * i) % 2**32).to_bytes(4, "little")
+                i += 5
+            else:
+                i += 1
+        return bytes(out)
+
+    for n in range(400):
+        data = bytes(R.choices([0xE8, 0xE9, 0, 1, 255], k=n % 80))
+        assert transforms.e8e9(data, True) == plain(data, 1) and transforms.e8e9(data, False) == plain(data, -1)
+
+
+@pytest.mark.parametrize("data", [b"a" * 50, b"ab" * 40, b"mississippi" * 9, bytes(60), b"abcdefg" * 30 + b"abcdefh", bytes(R.choices(b"ab", k=500))])
+def test_suffixes_in_order(data):
+    assert transforms.suffix_array(data).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_block_beyond_two_to_the_24():
+    """Rows that 24-bit pointers don't tell apart."""
+    data = R.randbytes((1 << 24) + 777)
+    symbols, lanes = transforms.bwt(data)
+    assert transforms.unbwt(symbols, int(lanes[0])) == data
+
+
 def test_contexts_skip_token_256():
     assert tans.histograms([7, 256, 3])[2].tolist() == [256, 7, 7]
 
