@@ -23,6 +23,7 @@ SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 #: Rows and bytes of text that Python works on at once, at most; one row may hold more by itself.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 4 << 20
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @cache
@@ -43,10 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: its lineage is cut and a lost executor costs nothing."""
+    """``df`` written as a table in the shared folder and read again: its lineage is cut and a lost executor costs nothing.
+
+    Python stages run in here, so that Arrow batches are small for as long as the write takes; the session's own
+    setting is put back then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(ROWS_AT_ONCE))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

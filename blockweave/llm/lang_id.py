@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, kept, spread_table, written
+from .common import bounded, kept, sortable, spread_table, without, written
 
 #: Labelled documents the model is fitted on, about; those of a language that are taken even beyond that, if it has them.
 SAMPLE, LEAST = 20_000, 32
@@ -230,29 +230,31 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    return written(rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"))
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without rows whose language isn't identified: ``und``, or a score under ``least``. All columns stay; no row moves.
+    """``docs`` without rows whose language isn't identified: ``und``, or a score under ``least``. All columns stay.
 
-    Where no row has a label nothing can be learned, and all rows stay.
+    Rows are judged by their text, so rows that share an id only are told apart. Where no row has a label nothing can
+    be learned, and all rows stay.
     """
-    spark = docs.sparkSession
     learned = fit(docs, id_col, text_col, lang_col)
     if not learned.langs:
         return docs
-    model = spark.sparkContext.broadcast(learned)
+    model = docs.sparkSession.sparkContext.broadcast(learned)
     token = uuid.uuid4().hex
-    at = docs.columns.index(text_col)
+    key = [*sortable(docs, id_col), F.xxhash64(F.lit("row"), F.col(id_col), F.col(text_col)).alias("row")]
+    rows = docs.select(*key, F.col(text_col).alias("text"))
 
     def run(batches):
         p = kept("language", token, lambda: Predictor(model.value))
-        for b in bounded(batches, at):
-            got = [p.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+        for b in bounded(batches, 3):
+            got = [p.predict(t) for t in b.column(3).to_pylist()]
+            yield b.select(["no_id", "doc", "row"]).filter(pa.array([lang == "und" or score < least for lang, score in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    gone = written(rows.mapInArrow(run, f"no_id boolean, doc {dict(rows.dtypes)['doc']}, row long")).distinct()
+    return without(docs, key, gone, gone.limit(0))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

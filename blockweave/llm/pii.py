@@ -425,7 +425,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([joined(spans) for _, spans in got], pa.string())], names=names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return written(rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,8 +225,8 @@ def _decided(shard: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     return shard.assign(mask=masks[0], again=masks[1])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, shard: int = SHARD) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, shard: int = SHARD, with_text: bool = True) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``).
 
     - A null text has no words. Texts shorter than a window lose nothing.
     - A document is an id with a text. Earlier means a smaller id, null ids last; of one id with several texts a smaller
@@ -299,12 +299,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n.append(len(words))
                 gone.append(len(words) - int(stay.sum()))
                 digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "replace"))
+                kept.append(left.decode("utf-8", "replace") if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), *sortable(docs, id_col), own.alias("row"), F.col(text_col).alias("text"))
     joined = texts.join(by_row, ["no_id", "doc", "row"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return written(joined.mapInArrow(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"))
 
 
 def _by_window(hot: DataFrame, read: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def _by_window(hot: DataFrame, read: DataFrame) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows in the whole of ``documents``."""
-    return substring_dedup(spread_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup(spread_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 SQL = r"""

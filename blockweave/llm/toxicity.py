@@ -298,7 +298,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     - Repeated rows are scored alike; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    counts = char_counts(docs, text_col).toPandas()  # at most CLASSES ** ORDER rows
+    counts = written(char_counts(docs, text_col)).toPandas()  # at most CLASSES ** ORDER rows
     char_model = CharModel(counts["code"].to_numpy(np.int64), counts["n"].to_numpy(float))
     model = spark.sparkContext.broadcast(char_model)
     scorer = spark.sparkContext.broadcast(fit(docs, labels, model, id_col, text_col, label_col, sample))
@@ -313,7 +313,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.score(w) for w in words], pa.float64()), pa.array([sorted(w & known) for w in words], pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "restored"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, restored array<string>")
+    out = written(rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, score double, restored array<string>"))
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "restored")
 
 
