@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters in a window and from one to the next; characters around a trigger that windows cover.
 WIDTH, STEP, MARGIN = 64, 32, 32
 #: Windows the tagger is trained on, at most, half of them with spans; steps, windows in a step, sizes of the embedding and of each direction's state; seed.
-TRAIN, STEPS, BATCH, EMBED, HIDDEN, SEED = 3_000, 320, 64, 12, 20, 11
+TRAIN, STEPS, BATCH, EMBED, HIDDEN, SEED = 3_000, 420, 64, 12, 20, 11
 #: Windows tagged at once.
 AT_ONCE = 2_048
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
