@@ -35,6 +35,8 @@ from .common import bounded, discard, sortable, spread_table, written
 WINDOW, GRAM = 20, 6
 #: Different pieces of one minimizer above which it is split into windows; pieces in a shard, about.
 SPLIT, SHARD = 1_000, 4_000
+#: Rows of one key from which it isn't dealt to one task; keys with as many there may be at most, which bounds their broadcast.
+HOT, HOT_KEYS = 1_000, 100_000
 #: Binary logarithm of the bits in a filter: 8 MB, whatever the input.
 BITS = 26
 #: Word hashes a worker remembers.
@@ -198,6 +200,20 @@ class Automaton:
         return out
 
 
+def _met(many: DataFrame, few: DataFrame, keys: list[str], how: str, hot: int) -> DataFrame:
+    """Written ``many`` joined to written ``few``, which holds each key once and in ``times`` its rows in ``many``.
+
+    Keys with more rows than both ``hot`` and a HOT_KEYS-th of all rows stay where they are and meet a broadcast: there
+    can't be more than HOT_KEYS of them, whatever the input. The others are dealt out and are small groups each.
+    """
+    limit = max(hot, many.count() // HOT_KEYS)
+    large, small = few.filter(F.col("times") > limit).drop("times"), few.filter(F.col("times") <= limit).drop("times")
+    if large.isEmpty():
+        return many.join(small, keys, how)
+    rest = many.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return many.join(F.broadcast(large), keys, how).unionByName(rest.join(small, keys, how))
+
+
 def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
     """``emit(batch, words, pieces)`` over batches of (no_id, doc, row, text)."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
@@ -225,7 +241,7 @@ def _decided(shard: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     return shard.assign(mask=masks[0], again=masks[1])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, shard: int = SHARD, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, shard: int = SHARD, hot: int = HOT, with_text: bool = True) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``).
 
     - A null text has no words. Texts shorter than a window lose nothing.
@@ -245,11 +261,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return [c["anchor"], c["piece"], c["n"].astype(np.int8), *(b.column(k).take(at) for k in range(3)), c["start"].astype(np.int32)]
 
     pieces = written(_scan(rows, cut, f"anchor long, piece long, n tinyint, {place}"))
-    twice = written(pieces.groupBy("anchor").count().filter("count > 1").select("anchor"))
-    places = written(pieces.join(twice, "anchor", "left_semi"))
+    twice = written(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    places = written(_met(pieces, twice, ["anchor"], "left_semi", hot))
     discard(pieces, twice)
-    first = places.groupBy("anchor", "piece", "n").agg(F.min(F.struct("no_id", "doc", "row", "start")).alias("first"))
-    first = written(first.select("anchor", "piece", "n", "first.*"))
+    first = places.groupBy("anchor", "piece", "n").agg(F.min(F.struct("no_id", "doc", "row", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
+    first = written(first.select("anchor", "piece", "n", "times", "first.*"))
     crowded = written(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > split).select("anchor"))
 
     spot = F.col("piece").bitwiseXOR(F.col("row")).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 9))
@@ -277,10 +293,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masks = written(masks)
     discard(read)
 
-    verdicts = first.join(masks, ["anchor", "piece"]).select("anchor", "piece", F.col("row").alias("first_row"), F.col("start").alias("first_start"), "mask", "again")
+    verdicts = first.join(masks, ["anchor", "piece"]).select("anchor", "piece", "times", F.col("row").alias("first_row"), F.col("start").alias("first_start"), "mask", "again")
+    verdicts = written(verdicts.filter("mask > 0 OR (again > 0 AND times > 1)"))
     is_first = (F.col("row") == F.col("first_row")) & (F.col("start") == F.col("first_start"))
-    marks = places.join(verdicts, ["anchor", "piece"]).select("no_id", "doc", "row", "start", F.when(is_first, F.col("mask")).otherwise(F.col("again")).alias("mask")).filter("mask > 0")
-    by_row = marks.select("no_id", "doc", "row", F.shiftleft(F.col("start").cast("long"), 16).bitwiseOR(F.col("mask")).alias("mark")).groupBy("no_id", "doc", "row").agg(F.collect_list("mark").alias("marks"))
+    marks = _met(places, verdicts, ["anchor", "piece"], "inner", hot).select("no_id", "doc", "row", "start", F.when(is_first, F.col("mask")).otherwise(F.col("again")).alias("mask")).filter("mask > 0")
+    by_row = marks.select("no_id", "doc", "row", F.shiftleft(F.col("start").cast("long"), 16).bitwiseOR(F.col("mask")).alias("mark")).groupBy("no_id", "doc", "row").agg(F.collect_set("mark").alias("marks"))
 
     def finish(batches):
         for b in bounded(batches, 1):

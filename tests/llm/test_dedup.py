@@ -164,9 +164,9 @@ def removed(texts, window=20):
     return out
 
 
-@pytest.mark.parametrize(("split", "shard"), [(1000, 4000), (1, 3), (2, 50)])
-def test_substring_dedup(docs, texts, split, shard):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs, split=split, shard=shard).collect()}
+@pytest.mark.parametrize(("split", "shard", "hot"), [(1000, 4000, 1000), (1, 3, 1), (2, 50, 2)])
+def test_substring_dedup(docs, texts, split, shard, hot):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs, split=split, shard=shard, hot=hot).collect()}
     want = removed(texts)
     assert got == want and any(n for _, n, _ in want.values())
 
@@ -190,7 +190,7 @@ def test_substring_dedup_of_a_crowded_minimizer(spark):
     texts = {i: " ".join([*(f"w{r.randrange(60)}" for _ in range(r.randrange(25))), *shared, *(f"w{r.randrange(60)}" for _ in range(r.randrange(25)))]) for i in range(120)}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for split in (5, 1000):
-        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(d, split=split, shard=7).collect()}
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(d, split=split, shard=7, hot=20).collect()}
         assert got == removed(texts)
 
 
