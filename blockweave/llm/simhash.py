@@ -81,6 +81,15 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return sparse.union(starred)
 
 
+def members(rows: DataFrame, dense: int = DENSE) -> DataFrame:
+    """fp, component_id for each fingerprint of written rows (doc_id, fp): the least id of all rows reachable."""
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = components(links(fps.select("fp"), dense))
+    placed = written(fps.join(labels.toDF("fp", "label"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
+    least = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+    return written(placed.join(written(least), "label").select("fp", "component_id"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -90,12 +99,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     - An empty table gives no rows. Other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col))
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(fps.select("fp"), dense))
-    placed = written(fps.join(labels.toDF("fp", "label"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
-    least = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    member = written(placed.join(written(least), "label").select("fp", "component_id"))
-    return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(members(rows, dense), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Near-dedup by the share of word shingles that texts have in common, for the pipeline.
 
-SimHash can't reach this rule: texts that share four fifths of their five-word shingles differ in 9.7 of 64 bits on
-average, and balls of that radius fetch more of the table than they leave out. So texts with equal shingle sets are one
-node, each node has a MinHash signature whose bands put nodes into buckets, and a candidate pair is linked if the exact
-Jaccard similarity of its shingle sets is high enough.
+Texts with equal shingle sets are one node. SimHash with multi-index hashing (op1's operator) puts nodes into components
+first; each node is held against the least of its own. Those links alone don't reach this rule: texts that share four
+fifths of their five-word shingles differ in 9.7 of 64 bits on average, and balls of that radius fetch more of the table
+than they leave out. So each node also has a MinHash signature whose bands put nodes into buckets. A candidate pair of
+either kind is linked if the exact Jaccard similarity of its shingle sets is high enough.
 
 Buckets emit stars, not pairs: each bucket's nodes are held against the least of them. Sketches of the signatures rule
 out most false candidates before texts are fetched. Of a bucket whose nodes aren't all linked by that, a small one gives
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import bounded, discard, is_few, sized, sortable, without, written
 from .components import components
 from .substring_dedup import filter_bits, passes
@@ -163,6 +165,12 @@ def _blocks(left: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, si
     return out
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of written nodes (node, fp): each node with the least one of its SimHash component."""
+    member = simhash.members(nodes.select(F.col("node").alias("doc_id"), "fp"))
+    return nodes.join(member, "fp").filter("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of ``docs``: no_id, doc, row (a hash of id and text), component_id, stays.
 
@@ -174,13 +182,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for b in bounded(batches, 3):
-            got = list(zip(*[signature(t, shingle) for t in b.column(3).to_pylist()], strict=True))
+            own = b.column(3).to_pylist()
+            got = list(zip(*[signature(t, shingle) for t in own], strict=True))
+            fps = np.array([simhash.fingerprint(t) for t in own], "<u8").view("<i8")
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got[0], pa.int64()), pa.array(got[1], longs), pa.array(got[2], longs)], names=["no_id", "doc", "row", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got[0], pa.int64()), pa.array(fps), pa.array(got[1], longs), pa.array(got[2], longs)], names=["no_id", "doc", "row", "node", "fp", "bands", "sketch"])
 
-    rows = written(texts.mapInArrow(run, f"no_id boolean, doc {dict(texts.dtypes)['doc']}, row long, node long, bands array<long>, sketch array<long>"))
-    reps = rows.groupBy("node").agg(F.min(F.struct("no_id", "doc", "row")).alias("m"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = written(reps.select("node", "m.*", "bands", "sketch"))
+    rows = written(texts.mapInArrow(run, f"no_id boolean, doc {dict(texts.dtypes)['doc']}, row long, node long, fp long, bands array<long>, sketch array<long>"))
+    # Texts of one shingle set may repeat shingles differently often: the node has the least of their fingerprints.
+    reps = rows.groupBy("node").agg(F.min(F.struct("no_id", "doc", "row")).alias("m"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = written(reps.select("node", "m.*", "fp", "bands", "sketch"))
     buckets = written(reps.select("node", F.explode("bands").alias("band")))
     full = buckets.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = written(buckets.join(full, "band"))
@@ -188,7 +199,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = reps.select("node", "sketch")
     sketched = lambda pairs: pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
     pairs = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(sketched(pairs).filter(_close(F.col("sa"), F.col("sb"))).select("a", "b"))
+    pairs = sketched(pairs).filter(_close(F.col("sa"), F.col("sb"))).select("a", "b")
+    pairs = written(pairs.union(by_fingerprint(reps)).distinct())
     edges = _verified(pairs, reps, texts, shingle, similarity)
     # A node's label is the least centre that it is linked to: equal labels mean one component, and that is all that is needed here.
     own = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
@@ -201,7 +213,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = _verified(written(pairs), reps, texts, shingle, similarity)
     edges = edges.union(found).union(_blocks(left.filter(F.col("n") > SMALL), reps, texts, shingle, similarity))
     labels = components(edges).toDF("node", "label")
-    nodes = written(reps.drop("bands", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    nodes = written(reps.drop("fp", "bands", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     group = nodes.groupBy("label").agg(F.min(F.struct("no_id", "doc", "row")).alias("least"))
     placed = rows.select("no_id", "doc", "row", "node").join(nodes.select("node", "label").join(group, "label").select("node", "least"), "node")
     stays = F.struct("no_id", "doc", "row") == F.col("least")

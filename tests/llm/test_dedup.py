@@ -232,3 +232,18 @@ def test_pipeline_drops_similar_texts(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = [x["doc_id"] for x in corpus_pipeline.near(spark, d, "").collect()]
     assert sorted(got) == sorted(set(group.values()))  # the row without an id is a copy of one that has an id
+
+
+def test_pipeline_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """Its candidates are each SimHash component's nodes, held against the least one; the rule of shingles decides."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(4)
+    words = [f"w{r.randrange(5000)}" for _ in range(3000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-1], "other"])), (2, " ".join(f"v{k}" for k in range(200)))]
+    fps = [(i, fingerprint(t) - (1 << 64) if fingerprint(t) >> 63 else fingerprint(t)) for i, t in rows]
+    nodes = spark.createDataFrame([*fps, (7, fps[2][1] ^ 3), (8, fps[2][1] ^ 12), (9, fps[2][1] ^ 0xFFFF)], "node long, fp long")
+    assert sorted(map(tuple, similar.by_fingerprint(nodes).collect())) == [(0, 1), (2, 7), (2, 8)]
+    seen, members = [], simhash.members
+    monkeypatch.setattr(simhash, "members", lambda nodes, *a: seen.append(nodes.count()) or members(nodes, *a))
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == [0, 2]
+    assert seen == [3]
