@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bounded, discard, is_few, sized, sortable, without, written
+from .common import bounded, discard, forget, is_few, sized, sortable, without, written
 from .components import components
 from .substring_dedup import filter_bits, passes
 
@@ -181,6 +181,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(*sortable(docs, id_col), own.alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
+        forget()
         for b in bounded(batches, 3):
             own = b.column(3).to_pylist()
             got = list(zip(*[signature(t, shingle) for t in own], strict=True))

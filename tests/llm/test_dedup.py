@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from blockweave.llm import exact_dedup, similar, simhash, substring_dedup
+from blockweave.llm import common, exact_dedup, similar, simhash, substring_dedup
 from blockweave.llm.components import components
 
 
@@ -247,3 +247,11 @@ def test_pipeline_near_dedup_goes_through_simhash(spark, monkeypatch):
     monkeypatch.setattr(simhash, "members", lambda nodes, *a: seen.append(nodes.count()) or members(nodes, *a))
     assert sorted(x["doc_id"] for x in corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == [0, 2]
     assert seen == [3]
+
+
+def test_workers_forget_what_earlier_stages_kept(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    first = common.kept("language", "a", object)
+    assert common.kept("language", "a", object) is first
+    common.forget()
+    assert not common._kept and common.kept("language", "a", object) is not first
