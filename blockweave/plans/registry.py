@@ -356,10 +356,8 @@ def le_numbers(spark, sf):
 
 def bundle_members(spark, sf):
     docs = _table(spark, sf, "documents").select("source", F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("raw"), F.octet_length("text").cast("long").alias("size"))
-    members = bundle.member_offsets(docs.select("source", "path", "size"), "source")
-    packed = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path", "raw"))).alias("m"))
-    packed = packed.select("source", archive.joined_bytes(F.col("m"), "raw").alias("raw"))
-    out = bundle.unbundle(packed, members, "source")
+    placed = bundle.member_offsets(docs.withColumn("md5", F.md5("raw")), "source", tie="md5")
+    out = bundle.unbundle(bundle.bundled(placed, "source"), placed.drop("raw", "md5"), "source")
     return out.select("source", F.col("path").alias("doc_id"), "offset", F.md5("raw").alias("md5"))
 
 

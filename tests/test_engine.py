@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blockweave.operators import archive, blocks, codec, crypto
 from blockweave.plans import registry
-from blockweave.sources import files
+from blockweave.sources import bundle, files
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,3 +198,23 @@ def test_flags_are_no_paths(spark):
 
     d = spark.createDataFrame([("-f",), ("a.ctx",)], "a string")
     assert [r[0] for r in d.select(scalars.is_flag(F.col("a"))).collect()] == [True, False]
+
+
+def test_bundles_in_pieces(spark, monkeypatch):
+    """Members over several pieces, ties, nulls and empty ones; no piece is longer than it may be."""
+    monkeypatch.setattr(bundle, "PIECE", 7)
+    monkeypatch.setattr(bundle, "STEPS", 3)
+    data = [("a", i, bytes([65 + i]) * (i * 5 % 23)) for i in range(12)] + [("b", 1, b"xy"), ("b", 1, b"pqrst"), ("b", 1, b"xy"), (None, 2, b"null key"), ("a", 40, None), ("b", 9, b"")]
+    d = spark.createDataFrame(data, "k string, path long, raw binary").withColumn("size", F.octet_length("raw").cast("long")).repartition(3)
+    placed = bundle.member_offsets(d.withColumn("md5", F.md5("raw")), "k", tie="md5")
+    pieces = bundle.bundled(placed, "k")
+    got = sorted((str(r["k"]), r["path"], r["raw"] if r["raw"] is None else bytes(r["raw"])) for r in bundle.unbundle(pieces, placed.drop("raw", "md5"), "k").collect() if r["raw"] is not None)
+    assert got == sorted((str(k), p, x) for k, p, x in data if x is not None)
+    whole = {k: b"".join(bytes(r["raw"]) for r in sorted((r for r in pieces.collect() if r["k"] == k), key=lambda r: r["piece"])) for k in ("a", "b")}
+    assert whole["a"] == b"".join(x or b"" for k, _, x in data if k == "a") and sorted(whole["b"]) == sorted(b"xypqrstxy")
+    assert max(len(r["raw"]) for r in pieces.collect()) == 7
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (k VARCHAR, path BIGINT, size BIGINT)")
+    con.executemany("INSERT INTO d VALUES (?, ?, ?)", [(k, p, None if x is None else len(x)) for k, p, x in data])
+    want = con.execute("SELECT k, path, size, sum(size) OVER (PARTITION BY k ORDER BY path) - size FROM d").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r["k"], r["path"], r["size"], r["offset"])) for r in placed.collect())
