@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sized, table, written
 
 #: Neighbours of a query; the pruning factor; vectors in a shard, about, and in a part of one, at most about; queries in a task; vectors in a leaf.
 K, FACTOR, SHARD, PART, QUERIES, LEAF = 10, 1.0, 8_192, 32_768, 16_384, 128
@@ -27,25 +28,49 @@ POINTS = 4_096
 EVERY = 100
 #: What a bound allows for rounding.
 SLACK = 1e-9
-#: Distances computed at once.
-AT_ONCE = 1 << 20
+#: What products of vectors may be off by, against the sum of their squared lengths.
+ROUNDED = 1e-9
+#: Distances estimated at once; those computed at once.
+AT_ONCE, IN_CACHE = 1 << 20, 1 << 15
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of each row of ``a`` to each row of ``b``; components are added in their order, so equal pairs give equal distances wherever they stand."""
-    out = np.empty((len(a), len(b)))
-    columns = np.ascontiguousarray(b.T)
-    step = max(1, AT_ONCE // max(1, len(b)))
+    out = np.zeros((len(a), len(b)))
+    columns, rows = np.ascontiguousarray(b.T), np.ascontiguousarray(a.T)
+    step = max(1, IN_CACHE // max(1, len(b)))
+    gap = np.empty((min(step, len(a)), len(b)))
     for at in range(0, len(a), step):
-        own = a[at : at + step]
-        total = np.zeros((len(own), len(b)))
+        total = out[at : at + step]
+        own = gap[: len(total)]
         for j in range(a.shape[1]):
-            gap = own[:, j, None] - columns[j]
-            total += gap * gap
-        out[at : at + step] = np.sqrt(total)
+            np.subtract(rows[j, at : at + step, None], columns[j], out=own)
+            np.multiply(own, own, out=own)
+            total += own
+        np.sqrt(total, out=total)
     return out
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of each row of ``a`` to the row of ``b`` beside it, equal to those of ``distances``."""
+    total = np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        total += (x - y) ** 2
+    return np.sqrt(total)
+
+
+def squares(v: np.ndarray) -> np.ndarray:
+    """The squared length of each row."""
+    return np.einsum("ij,ij->i", v, v)
+
+
+def vectors_of(column) -> np.ndarray:
+    """The rows of an Arrow list column whose lists are equally long, in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 class Tree:
     """A vantage-point tree over ascending ids and their vectors, double precision. Nodes are grown and visited from a stack."""
 
@@ -82,47 +107,77 @@ class Tree:
         each query's ``bound``; missing ones have distance inf."""
         best_d, best_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
         bound = np.full(len(queries), np.inf) if bound is None else bound
-        stack = [(0, np.arange(len(queries)), np.zeros(len(queries)))] if len(queries) else []
+        everyone, home = np.arange(len(queries)), np.full(len(queries), -1)
+        # First each query goes down the nearer sides to one leaf, which bounds the search; then all go through the tree together.
+        stack = [(0, everyone)] if len(queries) else []
+        while stack:
+            at, rows = stack.pop()
+            if isinstance(node := self.nodes[at], np.ndarray):
+                home[rows] = at
+                self._leaves(node, rows, q_ids, queries, bound, best_d, best_i)
+                continue
+            to_inner, to_outer = self._sides(node, queries[rows])
+            near = to_inner <= to_outer
+            stack += [(to, rows[side]) for to, side in ((node[3], near), (node[4], ~near)) if side.any()]
+        stack = [(0, everyone, np.zeros(len(queries)))] if len(queries) else []
         while stack:
             at, rows, least = stack.pop()
             reach = least * factor <= np.minimum(best_d[rows, -1], bound[rows]) * (1 + SLACK)
             rows, least = rows[reach], least[reach]
-            if not len(rows):
-                continue
             node = self.nodes[at]
             if isinstance(node, np.ndarray):
-                step = max(1, AT_ONCE // len(node))
-                for low in range(0, len(rows), step):
-                    self._leaf(node, rows[low : low + step], q_ids, queries, best_d, best_i)
-                continue
-            row, inner_most, outer_least, inner, outer = node
-            d = distances(queries[rows], self.v[row : row + 1])[:, 0]
-            to_inner, to_outer = np.maximum(least, d - inner_most), np.maximum(least, outer_least - d)
-            near = to_inner <= to_outer
-            # The stack is taken from its end: the nearer side of each query first.
-            for side, first, a, second, b in ((near, inner, to_inner, outer, to_outer), (~near, outer, to_outer, inner, to_inner)):
-                if side.any():
-                    stack += [(second, rows[side], b[side]), (first, rows[side], a[side])]
+                self._leaves(node, rows[home[rows] != at], q_ids, queries, bound, best_d, best_i)
+            elif len(rows):
+                to_inner, to_outer = self._sides(node, queries[rows])
+                stack += [(node[4], rows, np.maximum(least, to_outer)), (node[3], rows, np.maximum(least, to_inner))]
         return best_i, best_d
 
-    def _leaf(self, node: np.ndarray, rows: np.ndarray, q_ids, queries, best_d, best_i) -> None:
-        """Hold queries against a leaf's vectors."""
-        k = best_d.shape[1]
-        d = distances(queries[rows], self.v[node])
-        ids = np.broadcast_to(self.ids[node], d.shape)
-        own = ids == q_ids[rows, None]
-        d, ids = np.where(own, np.inf, d), np.where(own, np.iinfo(np.int64).max, ids)
-        d, ids = np.concatenate([best_d[rows], d], 1), np.concatenate([best_i[rows], ids], 1)
-        order = np.lexsort((ids, d), axis=1)[:, :k]
-        best_d[rows], best_i[rows] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    def _sides(self, node: list, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least distances of queries to a node's inner and outer rows by the triangle inequality, less what rounding may add."""
+        with np.errstate(over="ignore", invalid="ignore"):  # what overflows rules nothing out
+            d = np.sqrt(squares(queries - self.v[node[0]]))
+            return np.fmax(d - node[1] - (d + node[1]) * ROUNDED, 0), np.fmax(node[2] - d - (d + node[2]) * ROUNDED, 0)
+
+    def _leaves(self, node: np.ndarray, rows: np.ndarray, *more) -> None:
+        """Hold queries against a leaf's vectors, some at a time."""
+        step = max(1, AT_ONCE // len(node))
+        for low in range(0, len(rows), step):
+            self._leaf(node, rows[low : low + step], *more)
+
+    def _leaf(self, node: np.ndarray, rows: np.ndarray, q_ids, queries, bound, best_d, best_i) -> None:
+        """Hold queries against a leaf's vectors: products tell which can be among the k best, those are measured."""
+        k, own, v = best_d.shape[1], queries[rows], self.v[node]
+        with np.errstate(over="ignore", invalid="ignore"):
+            length = squares(own)[:, None] + squares(v)
+            about = length - 2 * (own @ v.T)
+            slack = length * ROUNDED
+            most = np.minimum(best_d[rows, -1], bound[rows]) ** 2
+            if len(node) > k:  # one more, for the query's own row
+                most = np.fmin(most, np.partition(about + slack, k, axis=1)[:, k])
+            # What overflows isn't ruled out.
+            near = ~(about - slack > (most * (1 + ROUNDED))[:, None]) & (self.ids[node] != q_ids[rows, None])
+        at, to = np.nonzero(near)
+        if not len(at):
+            return
+        d = pair_distances(own[at], v[to])
+        met, at = np.unique(at, return_inverse=True)
+        held = rows[met]
+        at = np.concatenate([np.repeat(np.arange(len(met)), k), at])
+        d, ids = np.concatenate([best_d[held].ravel(), d]), np.concatenate([best_i[held].ravel(), self.ids[node][to]])
+        order = np.lexsort((ids, d, at))
+        at = at[order]
+        place = np.arange(len(at)) - np.searchsorted(at, np.arange(len(met)))[at]
+        best = place < k
+        best_d[held[at[best]], place[best]], best_i[held[at[best]], place[best]] = d[order][best], ids[order][best]
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (doubles), dim: rows with an id and a vector that isn't null, zero, or of null or non-finite components."""
-    v = F.col("v")
+    """vec_id, v (floats as they are, all else as doubles), dim: rows with an id and a vector that isn't null, zero, or of null or non-finite components."""
+    v, kind = F.col("v"), dict(rows.dtypes)[vector_col]
+    kind = kind if kind == "array<float>" else "array<double>"  # half as many bytes to move, and the same numbers
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (
-        rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+        rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
         .filter(F.col("vec_id").isNotNull() & v.isNotNull() & finite)
         .filter(F.exists(v, lambda x: x != 0))
         .withColumn("dim", F.size("v"))
@@ -133,14 +188,16 @@ def _nearest(points: dict[int, np.ndarray]):
     """An Arrow function: rows (vec_id, v, dim) with shard, the nearest of the points of their length, and gap, its distance."""
 
     def run(batches):
-        for pdf in batches:
-            for dim, own in pdf.groupby("dim"):
-                p, shard, gap = points[int(dim)], [], []
-                for low in range(0, len(own), 1024):
-                    d = distances(np.stack(own["v"].to_numpy()[low : low + 1024]).astype(np.float64), p)
-                    shard.append(d.argmin(1))
-                    gap.append(d.min(1))
-                yield own.assign(shard=np.concatenate(shard), gap=np.concatenate(gap))
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b if (dims == dim).all() else b.filter(pa.array(dims == dim))
+                p, v = points[dim], vectors_of(own.column(1))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    shard = np.concatenate([(squares(p) - 2 * (v[low : low + 1024] @ p.T)).argmin(1) for low in range(0, len(v), 1024)])
+                # The nearest point may be another by what products are off; its distance is this one's in any case.
+                new = [pa.array(shard.astype(np.int64)), pa.array(pair_distances(v, p[shard]))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *new], names=["vec_id", "v", "dim", "shard", "gap"])
 
     return run
 
@@ -152,18 +209,22 @@ def _asked(data: DataFrame, asked: DataFrame, sizes: DataFrame, k: int, factor:
     mine = data.join(share, ["dim", "shard"]).select("dim", "shard", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "vec_id", "v")
     theirs = asked.join(share, ["dim", "shard"]).select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int").alias("lot"), "query_id", "q", "bound")
 
-    def local(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def local(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
         if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        mine = mine.sort_values("vec_id")
-        tree = Tree(mine["vec_id"].to_numpy(), np.stack(mine["v"].to_numpy()).astype(np.float64))
-        ids = theirs["query_id"].to_numpy()
-        i, d = tree.search(ids, np.stack(theirs["q"].to_numpy()).astype(np.float64), k, factor, theirs["bound"].to_numpy(np.float64))
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        own, ids = mine["vec_id"].to_numpy(), theirs["query_id"].to_numpy()
+        order = np.argsort(own)
+        tree = Tree(own[order], vectors_of(mine["v"])[order])
+        i, d = tree.search(ids, vectors_of(theirs["q"]), k, factor, theirs["bound"].to_numpy())
         found = np.isfinite(d)
-        return pd.DataFrame({"query_id": np.repeat(ids, found.sum(1)), "vec_id": i[found], "score": d[found]})
+        return pa.table([pa.array(np.repeat(ids, found.sum(1))), pa.array(i[found]), pa.array(d[found])], names=names)
 
     mine, theirs = mine.toDF("d", "s", "p", "l", "vec_id", "v"), theirs.toDF("dim", "shard", "part", "lot", "query_id", "q", "bound")
-    return mine.groupBy("d", "s", "p", "l").cogroup(theirs.groupBy("dim", "shard", "part", "lot")).applyInPandas(local, "query_id long, vec_id long, score double")
+    # A fixed number of partitions: searching few bytes takes long, so they mustn't be put together.
+    n = max(2 * data.sparkSession.sparkContext.defaultParallelism, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    mine, theirs = mine.repartition(n, "d", "s", "p", "l"), theirs.repartition(n, "dim", "shard", "part", "lot")
+    return mine.groupBy("d", "s", "p", "l").cogroup(theirs.groupBy("dim", "shard", "part", "lot")).applyInArrow(local, "query_id long, vec_id long, score double")
 
 
 def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, factor: float = FACTOR, shard: int = SHARD, part: int = PART, queries: int = QUERIES) -> DataFrame:
@@ -174,7 +235,12 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     - Candidates are the rows with another id than the query's; of rows that repeat an id, with whatever vectors, one is
       used. Ties go to the smaller id. An empty table gives no rows. Other columns are not read.
     """
-    good = written(usable(rows, id_col, vector_col).dropDuplicates(["vec_id"]))
+    good = written(usable(rows, id_col, vector_col))
+    kind = dict(good.dtypes)["v"]
+    twice = written(good.groupBy("vec_id").count().filter("count > 1").select("vec_id"))
+    if not twice.isEmpty():  # only rows whose id another has are dealt out for it
+        twice = sized(twice)
+        good = written(good.join(twice, "vec_id", "left_anti").unionByName(good.join(twice, "vec_id", "left_semi").dropDuplicates(["vec_id"])))
     points: dict[int, np.ndarray] = {}
     for dim, n in sorted((r["dim"], r["n"]) for r in good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
         most = min(POINTS, -(-n // shard))
@@ -182,7 +248,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
         points[dim] = np.unique(np.array([r["v"] for r in chosen], np.float64), axis=0)
     if not points:
         return good.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    data = written(good.mapInPandas(_nearest(points), "vec_id long, v array<double>, dim int, shard long, gap double"))
+    data = written(good.mapInArrow(_nearest(points), f"vec_id long, v {kind}, dim int, shard long, gap double"))
     sizes = written(data.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"), F.max("gap").alias("radius")))
     own = data.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("inf")).alias("bound"), "dim", "shard")
     near = written(_asked(data, own, sizes, k, factor, queries))
@@ -203,7 +269,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
                     at, to = np.nonzero(reach)
                     yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "q": some["q"].to_numpy()[at], "bound": bound[at], "dim": int(dim), "shard": to})
 
-    more = written(own.drop("bound").join(kth, "query_id", "left").mapInPandas(beyond, "query_id long, q array<double>, bound double, dim int, shard long"))
+    more = written(own.drop("bound").join(kth, "query_id", "left").mapInPandas(beyond, f"query_id long, q {kind}, bound double, dim int, shard long"))
     found = near if more.isEmpty() else near.union(_asked(data, more, sizes, k, factor, queries))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -350,3 +350,20 @@ def test_queries_equal_their_sql(spark, name):
     order = sorted(df.columns)
     pick = lambda cols, data: sorted(tuple(r[cols.index(c)] for c in order) for r in data)
     assert pick(rel.columns, rel.fetchall()) == pick(df.columns, [tuple(r) for r in df.collect()])
+
+
+def test_vp_tree_measures_few_pairs(monkeypatch):
+    """Products of vectors rule most pairs out; ties, the query's own row and large components included, results are exact."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(2000, 16))
+    v[1000:1100] = v[:100]
+    v[1500:1520] *= 1e8
+    measured, pairs = [], vp_search.pair_distances
+    monkeypatch.setattr(vp_search, "pair_distances", lambda a, b: measured.append(len(a)) or pairs(a, b))
+    ids, rows = np.arange(2000), np.arange(0, 2000, 10)
+    got, far = vp_search.Tree(ids, v).search(rows, v[rows])
+    d = vp_search.distances(v[rows], v)
+    d[np.arange(len(rows)), rows] = np.inf
+    want = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :10]
+    assert (got == want).all() and (far == np.take_along_axis(d, want, 1)).all()
+    assert sum(measured) * 5 < len(rows) * 2000
