@@ -22,10 +22,12 @@ through by chance is told apart by exact joins, so it costs time and never resul
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,25 +41,15 @@ SPLIT, SHARD = 1_000, 4_000
 HOT, HOT_KEYS = 1_000, 100_000
 #: Binary logarithm of the bits in a filter: 8 MB, whatever the input.
 BITS = 26
-#: Word hashes a worker remembers.
-REMEMBERED = 300_000
+#: Grams that are compared at once, and the low bits of a hash that give way to a gram's place among them.
+CHUNK, PLACE = 1 << 16, np.uint64((1 << 17) - 1)
+#: Bytes of words that are hashed at once; longer words than LONG, which may be built to collide, are hashed by themselves.
+AT_ONCE, LONG = 1 << 18, 256
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
+_BYTES = np.random.default_rng(7).integers(1, 1 << 64, 256, np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
-
-class WordHashes(dict):
-    """Word to XXH64, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 7)
-        return h
-
-
-_hashes = WordHashes()
 _powers: list[np.ndarray] = []
 
 
@@ -81,25 +73,77 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def cut_pieces(docs_words: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
+class Texts:
+    """The words of several texts: data (bytes), starts and ends of words in it, lengths (words of each text)."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        self.data = texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if at[-1] > at[0] else b""
+        at, x = at - at[0], np.frombuffer(self.data, np.uint8)
+        inside = ~_IS_SPACE[x]
+        bounds = np.zeros(len(x) + 1, bool)
+        bounds[at] = True
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1] | bounds[1:-1]
+        last[:-1] &= ~inside[1:] | bounds[1:-1]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.lengths = np.diff(np.searchsorted(self.starts, at))
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word, whichever text it is in."""
+        x, starts, ends = np.frombuffer(self.data, np.uint8), self.starts, self.ends
+        up, down = _power_tables(AT_ONCE + 1)
+        out, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = int(np.searchsorted(ends, starts[i] + AT_ONCE, side="right"))
+            if j > i:
+                v = _BYTES[x[starts[i] : ends[j - 1]]]
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(v * up[: len(v)], dtype=np.uint64)])
+                a = starts[i:j] - starts[i]
+                out[i:j] = (sums[ends[i:j] - starts[i]] - sums[a]) * down[a]
+            i = max(j, i + 1)
+        out = _mixed(out)
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            from xxhash import xxh64_intdigest
+
+            out[long] = [xxh64_intdigest(self.data[a:b], 7) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        return out
+
+    def runs(self, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """n words of text doc from its word start, joined by single spaces."""
+        first = (np.cumsum(self.lengths) - self.lengths)[doc] + start
+        return [b" ".join(self.data[a:b].split()) for a, b in zip(self.starts[first].tolist(), self.ends[first + n - 1].tolist(), strict=True)]
+
+
+def leftmost_least(keys: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of every ``span`` neighbours stands, the leftmost of equal ones; low bits of keys don't count."""
+    out = np.empty(len(keys) - span + 1, np.int64)
+    for b in range(0, len(out), CHUNK):
+        x = keys[b : b + CHUNK + span - 1]
+        x = (x & ~PLACE) | np.arange(len(x), dtype=np.uint64)
+        width = 1
+        while width < span:
+            step = min(width, span - width)
+            x = np.minimum(x[:-step], x[step:])
+            width += step
+        out[b : b + len(x)] = (x & PLACE).astype(np.int64) + b
+    return out
+
+
+def cut_pieces(texts: Texts, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Pieces of several documents: doc (index), start (first word), n (windows), anchor, piece (hashes)."""
-    lengths = np.array([len(w) for w in docs_words], np.int64)
+    lengths = texts.lengths
     total = int(lengths.sum())
     none = np.empty(0, np.int64)
     if total < window or not (lengths >= window).any():
         return {"doc": none, "start": none, "n": none, "anchor": none, "piece": none}
-    h = np.fromiter((x for words in docs_words for x in map(_hashes.__getitem__, words)), np.uint64, total)
+    h = texts.hashes()
     up, down = _power_tables(total + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[:total], dtype=np.uint64)])
     grams = _mixed((sums[gram:] - sums[:-gram]) * down[: total - gram + 1])
-    span = window - gram + 1  # grams in a window
-    at = np.arange(total - gram + 1)
-    width = 1
-    while width < span:  # at[i]: the leftmost least of the ``width`` grams from i
-        step = min(width, span - width)
-        left, right = at[:-step], at[step:]
-        at = np.where(grams[right] < grams[left], right, left)
-        width += step
+    at = leftmost_least(grams, window - gram + 1)
     ends = np.cumsum(lengths)
     doc = np.repeat(np.arange(len(lengths)), lengths)[: len(at)]
     p = np.flatnonzero(np.arange(len(at)) + window <= ends[doc])  # windows that lie within one document
@@ -215,30 +259,38 @@ def _met(many: DataFrame, few: DataFrame, keys: list[str], how: str, hot: int) -
 
 
 def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
-    """``emit(batch, words, pieces)`` over batches of (no_id, doc, row, text)."""
+    """``emit(batch, texts, pieces)`` over batches of (no_id, doc, row, text)."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches):
         for b in bounded(batches, 3):
-            words = [words_of(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in emit(b, words, cut_pieces(words))], names=names)
+            texts = Texts(b.column(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in emit(b, texts, cut_pieces(texts))], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
 def _decided(shard: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     """For the different pieces of one shard, each with its words: mask, the windows that start earlier in the shard, and
-    again, those that an equal piece further on repeats. Both are matching statistics of the piece: before the
-    automaton takes it in, and after."""
-    shard = shard.sort_values(["no_id", "doc", "row", "start"], kind="stable", ignore_index=True)
-    automaton, masks = Automaton(), np.zeros((2, len(shard)), np.int64)
-    for i, words in enumerate(shard["words"]):
+    again, those that an equal piece further on repeats.
+
+    The first are matching statistics of the piece in the automaton of the pieces before it. The automaton that has taken
+    a piece in matches it throughout, so the second are all its windows. Windows of different minimizers are never equal:
+    each minimizer has an automaton of its own, into which a piece goes only if another one follows.
+    """
+    shard = shard.sort_values(["anchor", "no_id", "doc", "row", "start"], kind="stable", ignore_index=True)
+    anchors, masks, again = shard["anchor"].tolist(), np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+    automaton, before = None, None
+    for i, (anchor, words) in enumerate(zip(anchors, shard["words"], strict=True)):
         own = words.split(b" ")
-        for k in (0, 1):
-            masks[k, i] = sum(1 << j for j, got in enumerate(automaton.matches(own)[window - 1 :]) if got >= window)
-            if not k:
-                automaton.add(own)
-    return shard.assign(mask=masks[0], again=masks[1])
+        again[i] = (1 << len(own) - window + 1) - 1
+        if anchor == before:
+            masks[i] = sum(1 << j for j, got in enumerate(automaton.matches(own)[window - 1 :]) if got >= window)
+        else:
+            automaton, before = Automaton(), anchor
+        if i + 1 < len(anchors) and anchors[i + 1] == anchor:
+            automaton.add(own)
+    return shard.assign(mask=masks, again=again)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int = SPLIT, shard: int = SHARD, hot: int = HOT, with_text: bool = True) -> DataFrame:
@@ -256,7 +308,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(*sortable(docs, id_col), own.alias("row"), F.col(text_col).alias("text"))
     place = f"no_id boolean, doc {dict(rows.dtypes)['doc']}, row long, start int"
 
-    def cut(b, words, c):
+    def cut(b, texts, c):
         at = pa.array(c["doc"])
         return [c["anchor"], c["piece"], c["n"].astype(np.int8), *(b.column(k).take(at) for k in range(3)), c["start"].astype(np.int32)]
 
@@ -271,10 +323,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spot = F.col("piece").bitwiseXOR(F.col("row")).bitwiseXOR(F.shiftleft(F.col("start").cast("long"), 9))
     wanted = spark.sparkContext.broadcast(filter_bits(first, spot))
 
-    def contents(b, words, c):
+    def contents(b, texts, c):
         row = b.column(2).to_numpy()[c["doc"]]
         ok = np.flatnonzero(passes(wanted.value, c["piece"] ^ row ^ (c["start"] << 9)))
-        text = [b" ".join(words[d][s : s + n + WINDOW - 1]) for d, s, n in zip(c["doc"][ok], c["start"][ok], c["n"][ok], strict=True)]
+        text = texts.runs(c["doc"][ok], c["start"][ok], c["n"][ok] + WINDOW - 1)
         return [c["anchor"][ok], c["piece"][ok], row[ok], c["start"][ok].astype(np.int32), pa.array(text, pa.binary())]
 
     read = written(_scan(rows, contents, "anchor long, piece long, row long, start int, words binary"))
@@ -304,17 +356,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             n, gone, digest, kept = [], [], [], []
             for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = words_of(text)
-                cover = np.zeros(len(words) + 1, np.int64)
+                size = len(words)
                 if marks:
-                    m = np.array(marks, np.int64)
-                    for j in range(WINDOW - GRAM + 1):
-                        own = (m[(m >> j) & 1 == 1] >> 16) + j
-                        np.add.at(cover, own, 1)
-                        np.add.at(cover, own + WINDOW, -1)
-                stay = np.cumsum(cover[:-1]) == 0
-                left = b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s)
-                n.append(len(words))
-                gone.append(len(words) - int(stay.sum()))
+                    m, j = np.array(marks, np.int64)[:, None], np.arange(WINDOW - GRAM + 1)
+                    own = ((m >> 16) + j)[(m >> j) & 1 == 1]
+                    cover = np.bincount(own, minlength=size + 1) - np.bincount(own + WINDOW, minlength=size + 1)
+                    words = list(compress(words, (np.cumsum(cover[:-1]) == 0).tolist()))
+                left = b" ".join(words)
+                n.append(size)
+                gone.append(size - len(words))
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "replace") if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])

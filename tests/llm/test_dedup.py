@@ -5,6 +5,8 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -208,6 +210,38 @@ def test_automaton():
     assert a.matches(probe) == [max(k for k in range(i + 2) if k == 0 or inside(probe[i + 1 - k : i + 1])) for i in range(len(probe))]
 
 
+def test_words_of_a_batch_without_an_object_for_each():
+    """Word borders, hashes and least grams of whole batches against one word at a time, slices and nulls included."""
+    cases = [None, "", " ", "a b", "b  c\t\n", "é\x0b日本 \x1cq\x85r", "a", "", f"{'x' * 300} a {'x' * 300}"]
+    texts = substring_dedup.Texts(pa.array(["z", *cases, "z z"], pa.string()).slice(1, len(cases)))
+    words = [substring_dedup.words_of(t) for t in cases]
+    assert texts.lengths.tolist() == list(map(len, words))
+    flat = [w for ws in words for w in ws]
+    assert [texts.data[a:b] for a, b in zip(texts.starts, texts.ends, strict=True)] == flat
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip(flat, texts.hashes().tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    assert texts.runs(np.array([4, 8]), np.array([0, 1]), np.array([2, 2])) == [b"b c", b"a " + b"x" * 300]
+    assert substring_dedup.Texts(pa.array([], pa.string())).lengths.tolist() == []
+    # Of 0s and 1s in the order of Thue and Morse and their opposites, sums of powers of any odd number are equal.
+    morse = "".join("ab"[k.bit_count() & 1] for k in range(1 << 12))
+    long = substring_dedup.Texts(pa.array([morse, morse.translate(str.maketrans("ab", "ba")), "y" * (substring_dedup.AT_ONCE + 9)])).hashes()
+    assert len(set(long.tolist())) == 3
+    keys = np.random.default_rng(1).integers(0, 9, substring_dedup.CHUNK * 2 + 40).astype(np.uint64) << np.uint64(40)
+    want = np.lib.stride_tricks.sliding_window_view(keys, 15).argmin(1) + np.arange(len(keys) - 14)
+    assert (substring_dedup.leftmost_least(keys, 15) == want).all()
+
+
+def test_an_automaton_for_each_minimizer(monkeypatch):
+    """A piece goes into its minimizer's automaton only if another one follows; each is matched against those before."""
+    added, add = [], substring_dedup.Automaton.add
+    monkeypatch.setattr(substring_dedup.Automaton, "add", lambda self, words: (added.append(len(words)), add(self, words)))
+    a, b = [f"a{k}".encode() for k in range(24)], [f"b{k}".encode() for k in range(22)]
+    pieces = [(5, 9, a[2:23]), (5, 3, a[:21]), (6, 1, b[:22]), (5, 7, a[3:24])]
+    df = pd.DataFrame([(k, i, False, d, 0, 0, b" ".join(w)) for i, (k, d, w) in enumerate(pieces)], columns=["anchor", "piece", "no_id", "doc", "row", "start", "words"])
+    got = {x.piece: (x.mask, x.again) for x in substring_dedup._decided(df).itertuples()}
+    assert got == {0: (0b10, 0b11), 1: (0, 0b11), 2: (0, 0b111), 3: (0, 0b11)} and added == [21, 21]
+
+
 def test_pipeline_drops_similar_texts(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(8)
