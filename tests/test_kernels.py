@@ -60,6 +60,50 @@ def test_token_coders(tokens):
     assert rangecoder.decode(rangecoder.encode(tokens), len(tokens)) == tokens
 
 
+@pytest.mark.parametrize("few", [1, 64, 10**9])
+def test_streams_coded_together(few, monkeypatch):
+    """Side by side or one by one, streams are the same bytes; damage to one is its own."""
+    monkeypatch.setattr(rangecoder, "FEW_STREAMS", few)
+    monkeypatch.setattr(rangecoder, "FOLLOWED", 4000)
+    r = random.Random(few)
+    streams = [[], [5], [0, 1], [256] * 700, [0] * 3000, [], [r.randrange(257) for _ in range(900)]]
+    streams += [[min(256, int(r.expovariate(0.3))) for _ in range(r.randrange(90))] for _ in range(150)]
+    coded, sizes = rangecoder.encode_many(streams), [len(x) for x in streams]
+    assert coded == [rangecoder.encode(x) for x in streams] and rangecoder.decode_many(coded, sizes) == streams
+    assert rangecoder.encode_many([]) == [] == rangecoder.decode_many([], [])
+
+    def alone(data, n):
+        try:
+            return rangecoder.decode(data, n)
+        except CorruptBlock as e:
+            return str(e)
+
+    damaged = [bytes(r.randrange(256) if r.random() < 0.1 else v for v in x)[: len(x) - r.randrange(4)] for x in coded] + [b""]
+    got = rangecoder.decode_many(damaged, [*sizes, 3])
+    assert [str(x) if isinstance(x, CorruptBlock) else x for x in got] == [alone(x, n) for x, n in zip(damaged, [*sizes, 3], strict=True)]
+    assert any(isinstance(x, CorruptBlock) for x in got)
+
+
+def test_few_steps_for_many_streams(monkeypatch):
+    """Blocks of a batch share their steps: none is coded or decoded by itself, and a block's payload stays the same."""
+    datas = [R.choice([b"", b"PK\x03\x04", b"MZ\0\0\xe8\1\2\3\4\xe9"]) + bytes(R.choices(b"abcd ", k=R.randrange(300, 500))) for _ in range(300)]
+    alone = [codec.encode_block(x, "ratio") for x in datas]
+    assert all(x[36:] == rangecoder.encode(codec._transformed(d)[1]) for x, d in zip(alone, datas, strict=True) if not codec.is_stored(d))
+    for name in ("encode", "decode", "_coded"):
+        monkeypatch.setattr(rangecoder, name, lambda *_: pytest.fail("by itself"))
+    assert codec.encode_many(datas, "ratio") == alone
+    assert codec.decode_many(alone, ["ratio"] * 300, list(map(len, datas))) == datas
+
+
+def test_more_tokens_than_bytes_are_damage():
+    data = b"some text " * 30
+    payload = bytearray(codec.encode_block(data, "ratio"))
+    payload[35] |= 0x3F  # would be decoded for hours
+    with pytest.raises(CorruptBlock, match="more tokens"):
+        codec.decode_block(bytes(payload), "ratio", len(data))
+    assert "more tokens" in str(codec.decode_many([bytes(payload)], ["ratio"], [len(data)])[0])
+
+
 def test_bits_of_the_range_coder():
     bits = [(i * 2_654_435_761 >> 7) & 1 for i in range(10_000)]
     e = rangecoder.Encoder()
