@@ -95,6 +95,16 @@ def test_few_steps_for_many_streams(monkeypatch):
     assert codec.decode_many(alone, ["ratio"] * 300, list(map(len, datas))) == datas
 
 
+def test_few_long_streams_are_followed_together(monkeypatch):
+    """Long blocks, too few to be taken a bit at a time: all their probabilities come from one pass, not from ``encode``."""
+    r, passes, bits = random.Random(4), [], rangecoder._bits
+    streams = [[min(256, int(r.expovariate(0.2))) for _ in range(n)] for n in (5000, 4000, 3999, 1)]
+    want = [rangecoder.encode(x) for x in streams]
+    monkeypatch.setattr(rangecoder, "_bits", lambda tokens, sizes: (passes.append(len(sizes)), bits(tokens, sizes))[1])
+    monkeypatch.setattr(rangecoder, "encode", lambda *_: pytest.fail("by itself"))
+    assert rangecoder.encode_many(streams) == want and passes == [3, 1]
+
+
 def test_more_tokens_than_bytes_are_damage():
     data = b"some text " * 30
     payload = bytearray(codec.encode_block(data, "ratio"))
