@@ -9,9 +9,9 @@ equal never needs to travel far. Consecutive windows with one minimizer form a p
    no window around them repeats.
 2. Places of pieces with equal content hashes share one decision, so a hot passage travels once. A second scan gives
    the words of each piece's first place.
-3. In its shard, in the order of first places, each piece is streamed through the suffix automaton of those before it.
-   The matching statistics say which of its windows are there already, and, once it has been taken in, which windows
-   its further places repeat. A minimizer with more than SPLIT different pieces would outgrow a shard; its windows are
+3. In its shard, in the order of first places, each piece is streamed through the suffix automaton of those before it
+   that share its minimizer. The matching statistics say which of its windows are there already; its further places
+   repeat all of them. A minimizer with more than SPLIT different pieces would outgrow a shard; its windows are
    grouped by their own words instead, which is exact as well.
 4. Each text gets the places of its repeated windows and drops the words they cover.
 
