@@ -282,13 +282,10 @@ def table_roundtrip_ratio(spark, sf):
 
 
 def mode_compare_sizes(spark, sf):
-    cut = blocks.table_blocks(_docs(spark, sf), 1 << 18)
-    raw = cut.select(F.octet_length("raw").alias("orig_size"), "raw")
-    out = None
-    for mode in codec.MAGIC:
-        s = archive.stats(codec.encode_blocks(raw, mode, 19), "mode").withColumn("ratio", F.round(S.ratio_percent(F.col("output_size"), F.col("input_size")), 4))
-        out = s if out is None else out.unionByName(s)
-    return out
+    docs = blocks.payload(blocks.gathered(_table(spark, sf, "documents")), "doc_id", "text")
+    raw = blocks.table_blocks(docs, 1 << 18).select(F.octet_length("raw").alias("orig_size"), "raw")
+    s = archive.stats(codec.encode_modes(raw, list(codec.MAGIC), 19), "mode")
+    return s.withColumn("ratio", F.round(S.ratio_percent(F.col("output_size"), F.col("input_size")), 4))
 
 
 def first_difference(spark, sf):

@@ -218,3 +218,21 @@ def test_bundles_in_pieces(spark, monkeypatch):
     con.executemany("INSERT INTO d VALUES (?, ?, ?)", [(k, p, None if x is None else len(x)) for k, p, x in data])
     want = con.execute("SELECT k, path, size, sum(size) OVER (PARTITION BY k ORDER BY path) - size FROM d").fetchall()
     assert sorted(map(str, want)) == sorted(str((r["k"], r["path"], r["size"], r["offset"])) for r in placed.collect())
+
+
+def test_modes_of_a_table_in_one_pass(spark, monkeypatch):
+    """Every row of each mode is what that mode alone gives; blocks stay whole where a batch is cut."""
+    import pyarrow as pa
+
+    from blockweave.operators import codec
+
+    monkeypatch.setattr(codec, "AT_ONCE_LONG", 3000)
+    data = [(i, bytearray(bytes([65 + i % 7]) * (i * 97 % 1500) + b"tail %d" % i)) for i in range(40)]
+    df = spark.createDataFrame(data, "id int, raw binary").repartition(3)
+    got = {(r.id, r.mode): (bytes(r.payload), r.digest, r.enc_size) for r in codec.encode_modes(df, list(codec.MAGIC), 3).collect()}
+    want = {(r.id, r.mode): (bytes(r.payload), r.digest, r.enc_size) for mode in codec.MAGIC for r in codec.encode_blocks(df, mode, 3).collect()}
+    assert got == want and len(got) == 120
+    assert codec.encode_modes(df.limit(0), list(codec.MAGIC)).count() == 0
+    batch = [pa.record_batch({"raw": [bytes(x) for _, x in data]})]
+    parts = [len(x) for x in codec._even(batch[0])]
+    assert sum(parts) == 40 and 5 < len(parts) < 15

@@ -105,6 +105,44 @@ def test_few_long_streams_are_followed_together(monkeypatch):
     assert rangecoder.encode_many(streams) == want and passes == [3, 1]
 
 
+def test_long_streams_side_by_side(monkeypatch):
+    """Streams that are too few to be followed a bit at a time are still coded so, long runs of bits in pieces."""
+    r, alone, coded = random.Random(6), [], rangecoder._coded
+    streams = [[min(256, int(r.expovariate(0.2))) for _ in range(r.randrange(2000, 3500))] for _ in range(40)]
+    streams += [[0] * 9000, [256] * 2500, [r.randrange(2) for _ in range(7000)], [r.choice([0, 0, 0, 255]) for _ in range(2600)]]
+    monkeypatch.setattr(rangecoder, "_coded", lambda bits, span: (alone.append(len(bits)), coded(bits, span))[1])
+    assert rangecoder.encode_many(streams) == [rangecoder.encode(x) for x in streams]
+    assert sum(alone) < 9 * sum(map(len, streams)) // 2
+
+
+@pytest.mark.parametrize("weights", [[1] * 257, [4000, 900, 300, *[1] * 254], [1, *[0] * 255, 1], [*[0] * 9, 1]])
+def test_tables_side_by_side(weights, monkeypatch):
+    """Pieces give the bytes of the loop, also where they never agree on their own."""
+    tokens = R.choices(range(len(weights)), weights, k=5000)
+    o0, o1, ctx = tans.histograms(tokens)
+    for n in (1, 511, 512, 513, 5000):
+        monkeypatch.setattr(tans, "LONG", 10**9)
+        want = tans.encode(tokens[:n], o0, o1, ctx[:n])
+        monkeypatch.setattr(tans, "LONG", 1)
+        assert tans.encode(tokens[:n], o0, o1, ctx[:n]) == want
+    assert tans.decode(want, 5000, o0, o1) == tokens
+
+
+@pytest.mark.parametrize("alphabet", [bytes(1), b"\0\1", b"ab", b"\xff", bytes(range(256)), b"the quick brown fox \n"])
+def test_tokens_of_long_blocks(alphabet):
+    for n in (1, 2, 127, 128, 129, 3000):
+        symbols = b"".join(bytes([c]) * R.choice([1, 1, 1, 2, 9, 300]) for c in R.choices(alphabet, k=n))
+        assert transforms._tokens_of_long(symbols).tolist() == transforms.zero_runs(transforms.mtf_ranks(symbols))
+
+
+def test_modes_share_a_blocks_tokens(monkeypatch):
+    datas, sorts, sort = [bytes(R.choices(b"abcd ", k=n)) for n in (40_000, 500, 0)] + [CASES["png"], CASES["program"]], [], transforms.suffix_array
+    want = [[codec.encode_block(x, mode, 3) for x in datas] for mode in codec.MAGIC]
+    monkeypatch.setattr(transforms, "suffix_array", lambda x: (sorts.append(len(x)), sort(x))[1])
+    assert codec.encode_each(datas, list(codec.MAGIC), 3) == want and len(sorts) == 3
+    assert codec.decode_block(want[list(codec.MAGIC).index("balanced")][0], "balanced", 40_000) == datas[0]
+
+
 def test_more_tokens_than_bytes_are_damage():
     data = b"some text " * 30
     payload = bytearray(codec.encode_block(data, "ratio"))
