@@ -6,7 +6,7 @@ the source column, so a wrong coder fails.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -160,8 +160,7 @@ def e8e9_roundtrip(spark, sf):
 
 
 def store_roundtrip(spark, sf):
-    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("archive_id"), F.concat(F.unhex(F.lit("504B0304")), F.encode("html", "UTF-8")).alias("raw"))
-    return _through(pages, "balanced", 1024, "page_id")
+    return _through(_table(spark, sf, "pages"), "page_id", F.concat(F.unhex(F.lit("504B0304")), F.encode("html", "UTF-8")), "balanced", 1024)
 
 
 def tans_roundtrip(spark, sf):
@@ -172,9 +171,9 @@ def range_roundtrip(spark, sf):
     return _digest(kernels.roundtrip(_turns(spark, sf), "archive_id", "range"), "archive_id")
 
 
-def _rejoined(decoded: DataFrame) -> DataFrame:
-    g = decoded.groupBy("archive_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "raw"))).alias("b"))
-    return g.select("archive_id", archive.joined_bytes(F.col("b"), "raw").alias("raw"))
+def _rejoined(decoded: DataFrame, *also: str) -> DataFrame:
+    g = decoded.groupBy("archive_id", *also).agg(F.array_sort(F.collect_list(F.struct("block_idx", "raw"))).alias("b"))
+    return g.select("archive_id", *also, archive.joined_bytes(F.col("b"), "raw").alias("raw"))
 
 
 def spark_slots(df: DataFrame) -> int:
@@ -182,12 +181,21 @@ def spark_slots(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
 
-def _through(payloads: DataFrame, mode: str, block_size: int, name: str) -> DataFrame:
-    """Payloads into archives and back."""
-    coded = codec.encode_blocks(blocks.split_blocks(payloads, block_size), mode, 3)
-    opened = archive.frames(archive.assemble(coded, block_size)).withColumn("digest", F.lit(None).cast("string"))
+def _through(scan: DataFrame, key: str, raw: Column, mode: str, block_size: int) -> DataFrame:
+    """Each row's payload into an archive of its own and back, whatever its key: rows may share one, or have none.
+
+    Rows are numbered before they are dealt out, so that a task that runs again numbers them alike.
+    """
+    payloads = blocks.spread(scan.select(F.monotonically_increasing_id().alias("archive_id"), F.col(key), raw.alias("raw")))
+    coded = codec.encode_blocks(blocks.split_blocks(payloads, block_size, key), mode, 3)
+    opened = archive.frames(archive.assemble(coded, block_size, also=(key,)), key).withColumn("digest", F.lit(None).cast("string"))
     opened = opened.repartition(2 * spark_slots(opened))  # a fixed number: decoding few bytes takes long, so they mustn't be put together
-    return _digest(_rejoined(codec.decode_blocks(opened)), "archive_id", name)
+    back = _rejoined(codec.decode_blocks(opened, key), key)
+    return _digest(back.unionByName(archive.bare_payloads(archive.bare(payloads, mode, block_size))), key)
+
+
+def _texts_through(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    return _through(_table(spark, sf, "documents"), "doc_id", F.encode("text", "UTF-8"), mode, BLOCK)
 
 
 def zstd_roundtrip(spark, sf):
@@ -196,15 +204,15 @@ def zstd_roundtrip(spark, sf):
 
 
 def archive_roundtrip_ratio(spark, sf):
-    return _through(_docs(spark, sf), "ratio", BLOCK, "doc_id")
+    return _texts_through(spark, sf, "ratio")
 
 
 def archive_roundtrip_balanced(spark, sf):
-    return _through(_docs(spark, sf), "balanced", BLOCK, "doc_id")
+    return _texts_through(spark, sf, "balanced")
 
 
 def archive_roundtrip_fast(spark, sf):
-    return _through(_docs(spark, sf), "fast", BLOCK, "doc_id")
+    return _texts_through(spark, sf, "fast")
 
 
 _SALT, _NONCE = bytes(range(16)), bytes(range(12))
